@@ -21,7 +21,8 @@ _QUERIES: dict[str, QueryFn] = {}
 def query(name: str):
     """Register fn(tables) or fn(tables, spark) under `name`."""
     def wrap(fn):
-        wants_spark = len(inspect.signature(fn).parameters) > 1
+        required = [p for p in inspect.signature(fn).parameters.values() if p.default is p.empty]
+        wants_spark = len(required) > 1
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             tables = derive_tables(spark, sf_dir)
