@@ -17,7 +17,10 @@ from sublens.operators.snapshot import account_mrr_month
 from sublens.operators.state import account_month_flows
 from sublens.sources.tables import Tables
 
-ZERO_TOTAL = F.lit(0).cast("decimal(18,2)")
+
+def zero_total() -> Column:
+    return F.lit(0).cast("decimal(18,2)")
+
 
 LOGO_COLUMNS = ("month_start", "customers_start", "new_customers", "churned_customers", "customers_end",
                 "logo_churn_rate", "net_customer_change", "net_growth_rate")
@@ -70,7 +73,7 @@ def _on_calendar(tables: Tables, measures: DataFrame) -> DataFrame:
     sums = [c for c in measures.columns if c.startswith("m_")]
     return j.select("month_start",
                     *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in counts],
-                    *[F.coalesce(c, ZERO_TOTAL).alias(c) for c in sums])
+                    *[F.coalesce(c, zero_total()).alias(c) for c in sums])
 
 
 def _logo(m: DataFrame) -> list[Column]:

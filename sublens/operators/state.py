@@ -22,7 +22,9 @@ from sublens.operators.calendar import bound_scalars
 from sublens.operators.snapshot import account_mrr_month
 from sublens.sources.tables import Tables
 
-ZERO_MONEY = F.lit(0).cast("decimal(12,2)")
+
+def zero_money() -> F.Column:
+    return F.lit(0).cast("decimal(12,2)")
 
 
 def accounts_in_scope(subscriptions: DataFrame) -> DataFrame:
@@ -110,8 +112,8 @@ def account_month_state(tables: Tables, snapshot: DataFrame | None = None) -> Da
     return (account_month_spine(tables.subscriptions)
             .join(flows, ["account_id", "month_start"], "left")
             .select("month_start", "account_id",
-                    F.coalesce("mrr_amount", ZERO_MONEY).alias("mrr_amount"),
-                    F.coalesce("prev_mrr", ZERO_MONEY).alias("prev_mrr")))
+                    F.coalesce("mrr_amount", zero_money()).alias("mrr_amount"),
+                    F.coalesce("prev_mrr", zero_money()).alias("prev_mrr")))
 
 
 def _flag(c) -> F.Column:
@@ -122,7 +124,7 @@ def account_activity_state(tables: Tables, snapshot: DataFrame | None = None) ->
     """C14 + C15: dense paying / active flags with their previous-month values."""
     flows = account_month_flows(tables, snapshot, with_usage=True, paying_rows_only=False)
     j = account_month_spine(tables.subscriptions).join(flows, ["account_id", "month_start"], "left")
-    mrr = F.coalesce("mrr_amount", ZERO_MONEY)
+    mrr = F.coalesce("mrr_amount", zero_money())
     use = F.coalesce("total_usage_count", F.lit(0).cast("bigint"))
     return j.select(
         "month_start", "account_id",
@@ -131,5 +133,5 @@ def account_activity_state(tables: Tables, snapshot: DataFrame | None = None) ->
         _flag(mrr).alias("is_paying"),
         _flag(use).alias("is_active"),
         _flag(F.coalesce("prev_usage_count", F.lit(0))).alias("prev_is_active"),
-        _flag(F.coalesce("prev_mrr", ZERO_MONEY)).alias("prev_is_paying"),
+        _flag(F.coalesce("prev_mrr", zero_money())).alias("prev_is_paying"),
     )
