@@ -8,6 +8,8 @@ that bound is what makes it safe to broadcast or inline as a scalar.
 
 from __future__ import annotations
 
+from collections import OrderedDict
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sublens.functions.columns import month_of
@@ -21,17 +23,35 @@ def month_bounds(subscriptions: DataFrame) -> DataFrame:
     )
 
 
+# One bounds subquery per subscriptions frame: every operator of a query that needs the
+# calendar refers to the same scalar-subquery expression, so Spark evaluates the global
+# aggregate (one pass over the subscriptions) once and reuses it, instead of planning a
+# separate scan of the source for each use.
+_BOUNDS: OrderedDict[int, tuple[DataFrame, Column]] = OrderedDict()
+_BOUNDS_KEEP = 64
+
+
+def _bounds_struct(subscriptions: DataFrame) -> Column:
+    hit = _BOUNDS.get(id(subscriptions))
+    if hit is not None and hit[0] is subscriptions:
+        return hit[1]
+    b = month_bounds(subscriptions).select(F.struct("min_month", "max_month").alias("b")).scalar()
+    _BOUNDS[id(subscriptions)] = (subscriptions, b)
+    while len(_BOUNDS) > _BOUNDS_KEEP:
+        _BOUNDS.popitem(last=False)
+    return b
+
+
 def bound_scalars(subscriptions: DataFrame) -> tuple[Column, Column]:
     """(min_month, max_month) as scalar-subquery columns: computed once per query by a
     global aggregate and inlined into every row that uses them, without a join."""
-    b = month_bounds(subscriptions)
-    return b.select("min_month").scalar(), b.select("max_month").scalar()
+    b = _bounds_struct(subscriptions)
+    return b.getField("min_month"), b.getField("max_month")
 
 
 def month_calendar(subscriptions: DataFrame) -> DataFrame:
     """(month_start, month_end) for every calendar month; 0 rows when there are no bounds."""
-    return (month_bounds(subscriptions)
-            .filter(F.col("min_month").isNotNull())
-            .select(F.explode(F.sequence("min_month", "max_month", F.expr("INTERVAL 1 MONTH")))
-                    .alias("month_start"))
+    lo, hi = bound_scalars(subscriptions)
+    return (subscriptions.sparkSession.range(1)
+            .select(F.explode(F.sequence(lo, hi, F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
             .select("month_start", F.last_day("month_start").alias("month_end")))

@@ -113,8 +113,9 @@ def change_signals_account(rows: DataFrame, extra: tuple[str, ...] = ()) -> Data
     for src, stem, _ in SIGNALS:
         for label in (RECENT, PRIOR):
             aggs.append(avg_double(src, F.col("window_label") == label).alias(f"{stem}_{label}"))
-    aggs += [F.first(c).alias(c) for c in extra]
-    return _deltas(rows.groupBy(*KEYS).agg(*aggs), extra)
+    # Extra columns are constant per account (e.g. the tier at the anchor), so they ride
+    # along as grouping keys; that keeps the aggregate a hash aggregate.
+    return _deltas(rows.groupBy(*KEYS, *extra).agg(*aggs), extra)
 
 
 def change_signals_account_as_published(tables: Tables, snapshot: DataFrame) -> DataFrame:

@@ -67,45 +67,37 @@ def account_month_flows(tables: Tables, snapshot: DataFrame | None = None,
     subs = tables.subscriptions
     snap = snapshot if snapshot is not None else account_mrr_month(subs)
     min_month, max_month = bound_scalars(subs)
-    nothing = F.lit(None)
-    snap = snap.filter(F.col("account_id").isNotNull()).select("account_id", "month_start", "mrr_amount")
-    next_month = F.add_months("month_start", 1)
-    parts = [
-        snap.select("account_id", "month_start", F.col("mrr_amount").alias("cur_mrr"),
-                    nothing.cast("decimal(12,2)").alias("prv_mrr"),
-                    nothing.cast("bigint").alias("cur_use"), nothing.cast("bigint").alias("prv_use")),
-        snap.filter(next_month <= max_month)
-            .select("account_id", next_month.alias("month_start"), nothing.cast("decimal(12,2)").alias("cur_mrr"),
-                    F.col("mrr_amount").alias("prv_mrr"),
-                    nothing.cast("bigint").alias("cur_use"), nothing.cast("bigint").alias("prv_use")),
-    ]
+    snap = snap.filter(F.col("account_id").isNotNull())
+    rows = _own_and_next(snap, "mrr_amount", "cur_mrr", "prv_mrr", max_month)
     if with_usage:
         use = (usage_by_account_month(tables)
                .filter(F.col("account_id").isNotNull()
                        & (F.col("month_start") >= min_month) & (F.col("month_start") <= max_month)))
-        parts += [
-            use.select("account_id", "month_start", nothing.cast("decimal(12,2)").alias("cur_mrr"),
-                       nothing.cast("decimal(12,2)").alias("prv_mrr"),
-                       F.col("total_usage_count").alias("cur_use"), nothing.cast("bigint").alias("prv_use")),
-            use.filter(next_month <= max_month)
-               .select("account_id", next_month.alias("month_start"), nothing.cast("decimal(12,2)").alias("cur_mrr"),
-                       nothing.cast("decimal(12,2)").alias("prv_mrr"),
-                       nothing.cast("bigint").alias("cur_use"), F.col("total_usage_count").alias("prv_use")),
-        ]
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
+        rows = rows.unionByName(_own_and_next(use, "total_usage_count", "cur_use", "prv_use", max_month),
+                                allowMissingColumns=True)
     # Each (account, month) has at most one value of each kind, so MAX just picks it.
-    state = union.groupBy("account_id", "month_start").agg(
-        F.max("cur_mrr").alias("mrr_amount"), F.max("prv_mrr").alias("prev_mrr"),
-        F.max("cur_use").alias("total_usage_count"), F.max("prv_use").alias("prev_usage_count"))
+    aggs = [F.max("cur_mrr").alias("mrr_amount"), F.max("prv_mrr").alias("prev_mrr")]
+    if with_usage:
+        aggs += [F.max("cur_use").alias("total_usage_count"), F.max("prv_use").alias("prev_usage_count")]
+    state = rows.groupBy("account_id", "month_start").agg(*aggs)
     if paying_rows_only:
         state = state.filter(F.col("mrr_amount").isNotNull() | F.col("prev_mrr").isNotNull())
-    if not with_usage:
-        state = state.drop("total_usage_count", "prev_usage_count")
     return state
 
 
+def _own_and_next(df: DataFrame, value: str, own: str, nxt: str, max_month) -> DataFrame:
+    """Each row once for its own month (value in `own`) and once for the following month
+    (value in `nxt`), in a single pass; months past the calendar end are dropped."""
+    t = df.schema[value].dataType
+    none = F.lit(None).cast(t)
+    pair = F.array(
+        F.struct(F.col("month_start").alias("month_start"), F.col(value).alias(own), none.alias(nxt)),
+        F.struct(F.add_months("month_start", 1).alias("month_start"), none.alias(own), F.col(value).alias(nxt)))
+    return (df.select("account_id", F.explode(pair).alias("r"))
+            .select("account_id", "r.month_start", f"r.{own}", f"r.{nxt}")
+            .filter(F.col("month_start") <= max_month))
+
+
 def account_month_state(tables: Tables, snapshot: DataFrame | None = None) -> DataFrame:
     """Dense (month_start, account_id, mrr_amount, prev_mrr) over the spine, 0 where absent."""
     flows = account_month_flows(tables, snapshot, with_usage=False)
