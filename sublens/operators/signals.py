@@ -118,44 +118,63 @@ def change_signals_account(rows: DataFrame, extra: tuple[str, ...] = ()) -> Data
     return _deltas(rows.groupBy(*KEYS, *extra).agg(*aggs), extra)
 
 
-def change_signals_account_as_published(tables: Tables, snapshot: DataFrame) -> DataFrame:
-    """D26 with the published usage join: usage is matched on the account only, and only for
-    window months that have a ticket row (the join condition compares the ticket month).
-
-    That join repeats each ticketed window month once per usage month of the account.  The
-    same averages follow from per-account usage totals without materialising those pairs:
-    a ticketed month carries weight max(K, 1) (K = usage months of the account) and the
-    usage sums U, F, A of all its usage months; other months weigh 1 with zero usage.
+def anchor_window_rows_as_published(tables: Tables, snapshot: DataFrame) -> DataFrame:
+    """D23 with the published usage join, one row per window month.
+
+    The published join matches usage on the account only, and only for window months that
+    have a ticket row (its month condition compares the ticket month).  A ticketed month
+    therefore appears once per usage month of the account (K rows, or 1 when K = 0), each
+    carrying that usage month's values; other months appear once with zero usage.  Instead
+    of materialising those pairs, each window month carries `join_rows` (its multiplicity)
+    and the sums of the usage values over its joined rows, computed from per-account usage
+    totals: the same information, linear in the window rows.
     """
     windows = anchor_windows(snapshot)
     support = support_account_month(tables.support_tickets).select(
-        "account_id", "month_start", "tickets_opened", "high_priority_tickets", "escalated_tickets")
-    usage = usage_account_month(tables)
-    per_account = (usage.filter(F.col("account_id").isNotNull()).groupBy("account_id")
+        "account_id", "month_start", "tickets_opened", "high_priority_tickets", "escalated_tickets",
+        "avg_resolution_hours", "avg_first_response_minutes", "avg_satisfaction_score")
+    per_account = (usage_account_month(tables).filter(F.col("account_id").isNotNull()).groupBy("account_id")
                    .agg(F.count(F.lit(1)).alias("k"), F.sum("total_usage_count").alias("u"),
                         F.sum("distinct_features_used").alias("f"), F.sum("active_flag").alias("a")))
-    j = (windows.join(support, ["account_id", "month_start"], "left")
-         .join(per_account, "account_id", "left"))
+    j = windows.join(support, ["account_id", "month_start"], "left").join(per_account, "account_id", "left")
     ticketed = F.col("tickets_opened").isNotNull()
-    k = F.coalesce("k", F.lit(0))
-    w = F.when(ticketed, F.greatest(k, F.lit(1))).otherwise(F.lit(1))
-    zero = F.lit(0)
-    per_row = j.select(
-        *KEYS, "window_label", w.alias("w"),
-        (w * F.coalesce("tickets_opened", zero)).alias("x_tickets_opened"),
-        (w * F.coalesce("high_priority_tickets", zero)).alias("x_high_priority_tickets"),
-        (w * F.coalesce("escalated_tickets", zero)).alias("x_escalated_tickets"),
-        F.when(ticketed, F.coalesce("u", zero)).otherwise(zero).alias("x_total_usage_count"),
-        F.when(ticketed, F.coalesce("f", zero)).otherwise(zero).alias("x_distinct_features_used"),
-        F.when(ticketed, F.coalesce("a", zero)).otherwise(zero).alias("x_active_flag"))
+    zero = F.lit(0).cast("bigint")
+
+    def on_ticket(c: str) -> Column:
+        return F.when(ticketed, F.coalesce(F.col(c).cast("bigint"), zero)).otherwise(zero)
+
+    return j.select(
+        *windows.columns,
+        F.when(ticketed, F.greatest(F.coalesce("k", zero), F.lit(1).cast("bigint"))).otherwise(F.lit(1).cast("bigint"))
+        .alias("join_rows"),
+        F.coalesce("tickets_opened", zero).alias("tickets_opened"),
+        F.coalesce("high_priority_tickets", zero).alias("high_priority_tickets"),
+        F.coalesce("escalated_tickets", zero).alias("escalated_tickets"),
+        "avg_resolution_hours", "avg_first_response_minutes", "avg_satisfaction_score",
+        on_ticket("u").alias("total_usage_count_sum"),
+        on_ticket("f").alias("distinct_features_used_sum"),
+        on_ticket("a").alias("active_flag_sum"))
+
+
+def change_signals_account_as_published(tables: Tables, snapshot: DataFrame) -> DataFrame:
+    """D26 with the published usage join (see anchor_window_rows_as_published): window
+    averages weight each month by its join multiplicity."""
+    rows = anchor_window_rows_as_published(tables, snapshot)
+    w = F.col("join_rows")
+    weighted = {"tickets_opened": w * F.col("tickets_opened"),
+                "high_priority_tickets": w * F.col("high_priority_tickets"),
+                "escalated_tickets": w * F.col("escalated_tickets"),
+                "total_usage_count": F.col("total_usage_count_sum"),
+                "distinct_features_used": F.col("distinct_features_used_sum"),
+                "active_flag": F.col("active_flag_sum")}
     aggs = []
     for src, stem, _ in SIGNALS:
         for label in (RECENT, PRIOR):
             inw = F.col("window_label") == label
-            num = F.sum(F.when(inw, F.col(f"x_{src}"))).cast("double")
-            den = F.sum(F.when(inw, F.col("w"))).cast("double")
+            num = F.sum(F.when(inw, weighted[src])).cast("double")
+            den = F.sum(F.when(inw, w)).cast("double")
             aggs.append(F.round(num / den, AVG_DIGITS).alias(f"{stem}_{label}"))
-    return _deltas(per_row.groupBy(*KEYS).agg(*aggs))
+    return _deltas(rows.groupBy(*KEYS).agg(*aggs))
 
 
 def signals_grain(signals: DataFrame) -> DataFrame:

@@ -117,6 +117,11 @@ def q_anchor_window_rows(t: Tables):
     return signals.anchor_window_rows(t, _snap(t))
 
 
+@query("anchor_window_rows_as_published")
+def q_anchor_window_rows_published(t: Tables):
+    return signals.anchor_window_rows_as_published(t, _snap(t))
+
+
 @query("anchor_window_averages")
 def q_anchor_window_avgs(t: Tables):
     return signals.anchor_window_averages(signals.anchor_window_rows(t, _snap(t)))
