@@ -18,6 +18,7 @@ fragment("row_counts", "\nUNION ALL\n".join(
     f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in TABLES), *TABLES)
 final("profile_row_counts", "SELECT * FROM row_counts", "row_counts")
 final("reload_idempotent", "SELECT * FROM row_counts", "row_counts")
+final("reload_streaming", "SELECT * FROM row_counts", "row_counts")
 final("registered_views", "SELECT * FROM scoreboard_v", "scoreboard_v")
 
 fragment("trends", """

@@ -35,6 +35,18 @@ def q_reload(t: Tables, spark: SparkSession):
     return quality.row_counts(csv_io.reload(spark, csv_folder, warehouse))
 
 
+@query("reload_streaming")
+def q_reload_streaming(t: Tables, spark: SparkSession):
+    """Incremental (streaming) load run twice over the same files; counts must not double."""
+    from sublens.streaming.landing import load_all_incrementally
+    csv_folder, warehouse = scratch_path(spark, "export"), scratch_path(spark, "landing")
+    csv_io.export_tables(t, csv_folder)
+    load_all_incrementally(spark, csv_folder, warehouse)
+    paths = load_all_incrementally(spark, csv_folder, warehouse)
+    loaded = Tables(**{name: spark.read.parquet(path) for name, path in paths.items()})
+    return quality.row_counts(loaded)
+
+
 @query("registered_views")
 def q_registered(t: Tables, spark: SparkSession):
     """Scoreboard read back through the view name published by register_all."""
