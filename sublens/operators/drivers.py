@@ -82,10 +82,27 @@ def _is_churn(prev: Column, mrr: Column) -> Column:
     return (prev > 0) & (mrr == 0)
 
 
-def first_churn_month(snapshot: DataFrame) -> DataFrame:
-    """(account_id, churn_month) = first observed month where a payer drops to 0 MRR."""
-    return (observed_prev_mrr(snapshot)
-            .filter(_is_churn(F.col("prev_mrr"), F.col("mrr_amount")))
+def first_churn_month(snapshot: DataFrame, basis: str = "observed", tables: Tables | None = None) -> DataFrame:
+    """(account_id, churn_month) = first month where a payer drops to 0 MRR.
+
+    basis='observed' (the published rule) compares each snapshot row with the account's
+    previous *observed* month, so an account that simply disappears never churns.
+    basis='calendar' compares with the previous calendar month, as the logo-churn lens
+    does (a month without a snapshot row counts as 0 MRR); it needs `tables`.
+    """
+    if basis == "observed":
+        rows = observed_prev_mrr(snapshot)
+    elif basis == "calendar":
+        if tables is None:
+            raise ValueError("basis='calendar' needs the tables")
+        from sublens.operators.state import account_month_flows
+        rows = (account_month_flows(tables, snapshot, with_usage=False)
+                .select("account_id", "month_start",
+                        F.coalesce("mrr_amount", F.lit(0).cast("decimal(12,2)")).alias("mrr_amount"),
+                        F.coalesce("prev_mrr", F.lit(0).cast("decimal(12,2)")).alias("prev_mrr")))
+    else:
+        raise ValueError("basis must be 'observed' or 'calendar'")
+    return (rows.filter(_is_churn(F.col("prev_mrr"), F.col("mrr_amount")))
             .groupBy("account_id").agg(F.min("month_start").alias("churn_month")))
 
 

@@ -61,6 +61,11 @@ def q_first_churn(t: Tables):
     return drivers.first_churn_month(_snap(t))
 
 
+@query("first_churn_month_calendar")
+def q_first_churn_calendar(t: Tables):
+    return drivers.first_churn_month(_snap(t), basis="calendar", tables=t)
+
+
 @query("account_month_cohorts")
 def q_cohorts(t: Tables):
     return drivers.account_month_cohorts(_snap(t))

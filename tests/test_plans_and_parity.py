@@ -35,9 +35,14 @@ def test_calendar_bounds_are_computed_once(spark):
     assert "ReusedSubquery" in final
 
 
-def test_raw_events_are_pre_aggregated_before_the_shuffle(spark):
-    plan = entry.queries()["usage_account_month"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
-    assert "partial_sum" in plan
+@pytest.mark.parametrize("name,partial", [("usage_account_month", "partial_sum"),
+                                          ("account_mrr_month", "partial_max"),
+                                          ("first_churn_reason", "partial_min"),
+                                          ("support_account_month", "partial_count")])
+def test_raw_rows_are_pre_aggregated_before_the_shuffle(spark, name, partial):
+    """A hot key is reduced inside each task before it is shuffled (skew safety)."""
+    plan = entry.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert partial in plan
 
 
 @pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
