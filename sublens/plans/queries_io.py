@@ -50,7 +50,7 @@ def q_reload_streaming(t: Tables, spark: SparkSession):
 @query("registered_views")
 def q_registered(t: Tables, spark: SparkSession):
     """Scoreboard read back through the view name published by register_all."""
-    extracts.register_all(spark, t)
+    extracts.register_all(spark, t, materialize=True)
     return spark.table("v_churn_scoreboard_month")
 
 
