@@ -2,8 +2,10 @@
 
 * months are DATE values at the first of the month;
 * rates divide doubles and yield NULL for a zero denominator (never raise under ANSI);
-* averages are taken over doubles and rounded to AVG_DIGITS places, so the result does
-  not depend on the order in which partial sums are combined;
+* averages are exact sums divided once (integers and decimals as they are, values already
+  rounded to 6 places as integer millionths), then rounded to AVG_DIGITS places with plain
+  IEEE arithmetic, so the result depends neither on the order partial sums are combined
+  in nor on the engine;
 * money totals are decimal(18,2): numeric(12,2) overflows once totals pass 10^10.
 """
 
@@ -12,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 AVG_DIGITS = 6
+SCALE = 10.0 ** AVG_DIGITS
 MONEY_TOTAL = "decimal(18,2)"
 
 
@@ -41,12 +44,39 @@ def count_if(cond: Column) -> Column:
     return F.count(F.when(cond, F.lit(1)))
 
 
-def avg_double(c, where: Column | None = None) -> Column:
-    """AVG over the double value of c (optionally FILTER (WHERE where)), rounded."""
-    v = _c(c).cast("double")
-    if where is not None:
-        v = F.when(where, v)
-    return F.round(F.avg(v), AVG_DIGITS)
+def round6(x) -> Column:
+    """x rounded half-up to 6 decimals with plain IEEE operations (floor(x*1e6 + 0.5) / 1e6),
+    so any engine computing the same formula from the same double gets the same result."""
+    return F.floor(_c(x) * F.lit(SCALE) + F.lit(0.5)) / F.lit(SCALE)
+
+
+def _filtered(c, where: Column | None) -> Column:
+    v = _c(c)
+    return v if where is None else F.when(where, v)
+
+
+def _mean(total: Column, n: Column) -> Column:
+    return F.when(n > 0, total.cast("double") / n)
+
+
+def avg_num(c, where: Column | None = None) -> Column:
+    """AVG of an integer or decimal column: the sum is exact, so the mean (one division,
+    rounded to 6 places) does not depend on the order partial sums are combined in."""
+    v = _filtered(c, where)
+    return round6(_mean(F.sum(v), F.count(v)))
+
+
+def avg_6dp(c, where: Column | None = None) -> Column:
+    """AVG of values that are themselves rounded to 6 places (averages of averages, deltas):
+    summed exactly as integer millionths."""
+    v = _filtered(c, where)
+    micro = F.floor(v * F.lit(SCALE) + F.lit(0.5))
+    return round6(_mean(F.sum(micro), F.count(v)) / F.lit(SCALE))
+
+
+def avg_real(c, where: Column | None = None) -> Column:
+    """AVG of arbitrary doubles (e.g. ratios), rounded to 6 places."""
+    return round6(F.avg(_filtered(c, where).cast("double")))
 
 
 def share(cond: Column) -> Column:

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sublens.functions.columns import AVG_DIGITS, avg_double, count_if, month_diff, ratio, share
+from sublens.functions.columns import avg_6dp, avg_real, count_if, month_diff, ratio, round6, share
 from sublens.operators.drivers import (
-    attach_activity, observed_prev_mrr, support_account_month, usage_account_month,
+    attach_activity, average_of, observed_prev_mrr, support_account_month, usage_account_month,
 )
 from sublens.sources.tables import Tables
 
@@ -94,7 +94,7 @@ def anchor_window_rows(tables: Tables, snapshot: DataFrame, with_tier: bool = Fa
 
 def anchor_window_averages(rows: DataFrame) -> DataFrame:
     """Per (account, anchor, window) averages of the window's observed months."""
-    return rows.groupBy(*KEYS, "window_label").agg(*[avg_double(src).alias(dst) for src, dst in WINDOW_AVERAGES])
+    return rows.groupBy(*KEYS, "window_label").agg(*[average_of(src).alias(dst) for src, dst in WINDOW_AVERAGES])
 
 
 def _deltas(pivoted: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -112,7 +112,7 @@ def change_signals_account(rows: DataFrame, extra: tuple[str, ...] = ()) -> Data
     aggs = []
     for src, stem, _ in SIGNALS:
         for label in (RECENT, PRIOR):
-            aggs.append(avg_double(src, F.col("window_label") == label).alias(f"{stem}_{label}"))
+            aggs.append(average_of(src, F.col("window_label") == label).alias(f"{stem}_{label}"))
     # Extra columns are constant per account (e.g. the tier at the anchor), so they ride
     # along as grouping keys; that keeps the aggregate a hash aggregate.
     return _deltas(rows.groupBy(*KEYS, *extra).agg(*aggs), extra)
@@ -173,7 +173,7 @@ def change_signals_account_as_published(tables: Tables, snapshot: DataFrame) ->
             inw = F.col("window_label") == label
             num = F.sum(F.when(inw, weighted[src])).cast("double")
             den = F.sum(F.when(inw, w)).cast("double")
-            aggs.append(F.round(num / den, AVG_DIGITS).alias(f"{stem}_{label}"))
+            aggs.append(round6(num / den).alias(f"{stem}_{label}"))
     return _deltas(rows.groupBy(*KEYS).agg(*aggs))
 
 
@@ -221,19 +221,19 @@ SUMMARY_COLUMNS = ("anchor_type", "accounts", "accounts_with_usage_both_windows"
 
 def _signal_block() -> list[Column]:
     c = F.col
-    return [avg_double("usage_delta").alias("avg_usage_delta"),
-            avg_double("usage_delta_pct", c("usage_prior_3m") > 0).alias("avg_usage_delta_pct"),
+    return [avg_6dp("usage_delta").alias("avg_usage_delta"),
+            avg_real("usage_delta_pct", c("usage_prior_3m") > 0).alias("avg_usage_delta_pct"),
             share(c("usage_delta") < 0).alias("share_usage_declining"),
-            avg_double("features_delta").alias("avg_features_delta"),
+            avg_6dp("features_delta").alias("avg_features_delta"),
             share(c("features_delta") < 0).alias("share_features_declining"),
-            avg_double("share_active_delta").alias("avg_share_active_delta"),
+            avg_6dp("share_active_delta").alias("avg_share_active_delta"),
             share(c("share_active_delta") < 0).alias("share_active_declining"),
-            avg_double("tickets_delta").alias("avg_tickets_delta"),
-            avg_double("tickets_delta_pct", c("tickets_prior_3m") > 0).alias("avg_tickets_delta_pct"),
+            avg_6dp("tickets_delta").alias("avg_tickets_delta"),
+            avg_real("tickets_delta_pct", c("tickets_prior_3m") > 0).alias("avg_tickets_delta_pct"),
             share(c("tickets_delta") > 0).alias("share_tickets_increasing"),
-            avg_double("high_priority_delta").alias("avg_high_priority_delta"),
+            avg_6dp("high_priority_delta").alias("avg_high_priority_delta"),
             share(c("high_priority_delta") > 0).alias("share_high_priority_increasing"),
-            avg_double("escalations_delta").alias("avg_escalations_delta")]
+            avg_6dp("escalations_delta").alias("avg_escalations_delta")]
 
 
 def change_signals_summary(signals: DataFrame) -> DataFrame:
