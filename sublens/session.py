@@ -41,13 +41,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     runs and tests) a scratch folder is created and registered.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if current:
+    if not current:
+        current = tempfile.mkdtemp(prefix="sublens-ckpt-")
+        spark.conf.set("spark.checkpoint.dir", current)
+    try:
         spark.sparkContext.setCheckpointDir(current)
-        return current
-    local = tempfile.mkdtemp(prefix="sublens-ckpt-")
-    spark.conf.set("spark.checkpoint.dir", local)
-    spark.sparkContext.setCheckpointDir(local)
-    return local
+    except Exception:  # noqa: BLE001 - no SparkContext in a Spark Connect client; the conf is used
+        pass
+    return current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

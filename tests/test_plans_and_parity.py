@@ -107,7 +107,8 @@ PARITY_SAMPLE = ("account_mrr_month", "subscriptions_active_at_eom", "account_mo
                  "usage_account_month", "account_month_cohorts", "churn_driver_table_3m", "anchor_window_rows",
                  "change_signals_3m_account_as_published", "change_signals_3m_summary_by_tier",
                  "reason_code_by_tier", "qc_reason_missing", "load_churn_events", "validate_contracts",
-                 "waterfall_bases_as_published", "mix_stack_offsets", "profile_key_duplicates")
+                 "waterfall_bases_as_published", "mix_stack_offsets", "profile_key_duplicates", "reload_streaming",
+                 "first_churn_month_calendar", "anchor_window_rows_as_published")
 PARITY_KEYS = sorted(entry.oracle_sql()) if os.environ.get("SUBLENS_FULL_PARITY") else PARITY_SAMPLE
 
 
