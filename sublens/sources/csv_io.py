@@ -44,7 +44,7 @@ def export_tables(tables: Tables, folder: str) -> None:
 
 
 def load_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables(**{name: load_table(spark, name, f"{folder}/{name}.csv") for name in FILE_SCHEMAS})
+    return Tables(**{name: load_table(spark, name, f"{folder}/{name}.csv") for name in FILE_SCHEMAS}).spread()
 
 
 def reload(spark: SparkSession, csv_folder: str, warehouse: str) -> Tables:

@@ -163,7 +163,7 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     key = (id(spark), sf_dir.rstrip("/"))
     hit = _DERIVED.get(key)
     if hit is None or hit[0] is not spark:
-        hit = _DERIVED[key] = (spark, _derive(spark, key[1]))
+        hit = _DERIVED[key] = (spark, _derive(spark, key[1]).spread())
     return hit[1]
 
 
