@@ -118,3 +118,11 @@ def test_oracle_parity(spark, duck, name):
     rel = duck.sql(entry.oracle_sql()[name])
     assert sorted(sdf.columns) == sorted(rel.columns)
     assert _canon(sdf.columns, [tuple(r) for r in sdf.collect()]) == _canon(rel.columns, rel.fetchall())
+
+
+def test_single_split_inputs_are_spread(spark):
+    from sublens.sources.tables import spread
+    one = spark.range(1000).coalesce(1)
+    assert spread(one, 4).rdd.getNumPartitions() == 4
+    many = spark.range(1000).repartition(6)
+    assert spread(many, 4) is many  # enough splits already: unchanged
