@@ -168,3 +168,34 @@ def range_check(df: DataFrame, col: str = "month_start") -> DataFrame:
     """(min_month, max_month, row_count) of a monthly view."""
     return df.agg(F.min(col).alias("min_month"), F.max(col).alias("max_month"),
                   F.count(F.lit(1)).alias("row_count"))
+
+
+class TrustGateError(AssertionError):
+    """Raised when the reconciliation or grain invariants do not hold."""
+
+
+def trust_gate(tables: Tables) -> None:
+    """Stop the pipeline when the numbers do not reconcile (the published 'stop and debug'
+    rule): MRR and customer reconciliation diffs must be 0, and the support, usage and
+    cohort views must hold one row per (month, account).  All checks are computed in one
+    job over one union of tiny per-check results; only their (name, failures) rows reach
+    the driver."""
+    from sublens.operators import drivers, lenses
+    from sublens.operators.snapshot import account_mrr_month
+
+    snap = account_mrr_month(tables.subscriptions)
+    checks = [
+        lenses.check_mrr_reconciliation(lenses.revenue_waterfall_month(tables, snap))
+        .agg(F.count(F.when(F.col("diff") != 0, 1)).alias("failures")).select(F.lit("mrr_reconciliation").alias("check"), "failures"),
+        lenses.check_customer_reconciliation(lenses.logo_churn_month(tables, snap))
+        .agg(F.count(F.when(F.col("diff") != 0, 1)).alias("failures")).select(F.lit("customer_reconciliation").alias("check"), "failures"),
+        grain_check(drivers.support_account_month(tables.support_tickets), "month_start", "account_id")
+        .select(F.lit("support_grain").alias("check"), F.col("bad_rows").alias("failures")),
+        grain_check(drivers.usage_account_month(tables), "month_start", "account_id")
+        .select(F.lit("usage_grain").alias("check"), F.col("bad_rows").alias("failures")),
+        grain_check(drivers.account_month_cohorts(snap), "month_start", "account_id")
+        .select(F.lit("cohort_grain").alias("check"), F.col("bad_rows").alias("failures")),
+    ]
+    failed = [(r["check"], r["failures"]) for r in _union(checks).filter(F.col("failures") > 0).collect()]
+    if failed:
+        raise TrustGateError(f"invariants violated: {failed}")

@@ -123,3 +123,15 @@ def test_reconciliation_diffs_are_zero(make_tables):
     t = make_tables(subs)
     assert all(r.diff == 0 for r in lenses.check_mrr_reconciliation(lenses.revenue_waterfall_month(t)).collect())
     assert all(r.diff == 0 for r in lenses.check_customer_reconciliation(lenses.logo_churn_month(t)).collect())
+
+
+def test_trust_gate_passes_on_consistent_data_and_fails_on_negative_mrr(make_tables):
+    import pytest
+    from sublens.operators.quality import TrustGateError, trust_gate
+    good = make_tables([sub("S1", "A1", "2024-01-01", "2024-02-29", 100), sub("S2", "A2", "2024-02-01", None, 50)])
+    trust_gate(good)
+    # Negative MRR belongs to no movement bucket: moving from -100 to +50 is neither new nor
+    # expansion, yet the 50 is in ending MRR, so the waterfall no longer reconciles.
+    bad = make_tables([sub("S1", "A1", "2024-01-01", "2024-01-31", -100), sub("S2", "A1", "2024-02-01", None, 50)])
+    with pytest.raises(TrustGateError):
+        trust_gate(bad)
