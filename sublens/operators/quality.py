@@ -107,8 +107,17 @@ def usage_range(t: Tables) -> DataFrame:
                                    F.max("usage_date").alias("max_usage_date"))
 
 
+def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str = "orphans") -> DataFrame:
+    """Number of child rows whose key finds no parent.  The child is first reduced to one
+    row per key value with its row count (map-side partial aggregate), so a key holding a
+    large share of the rows reaches the anti join as a single row."""
+    per_key = child.groupBy(F.col(fk).alias("__fk")).agg(F.count(F.lit(1)).alias("__n"))
+    missing = per_key.join(parent.select(F.col(pk).alias("__pk")), F.col("__fk") == F.col("__pk"), "left_anti")
+    return missing.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias(label))
+
+
 def _orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str) -> DataFrame:
-    return orphans(child, fk, parent, pk).agg(F.count(F.lit(1)).alias(label))
+    return orphan_count(child, fk, parent, pk, label)
 
 
 def orphans_subscriptions(t: Tables) -> DataFrame:
@@ -153,8 +162,7 @@ def _contract_checks(t: Tables, c: Contract) -> list[DataFrame]:
                    .select(*label(f"not_null:{col}"), "violations"))
     for col, parent, pcol in c.foreign_keys:
         # A NULL foreign key satisfies the constraint (SQL semantics); only dangling values violate it.
-        out.append(orphans(df.filter(F.col(col).isNotNull()), col, getattr(t, parent), pcol)
-                   .agg(F.count(F.lit(1)).alias("violations"))
+        out.append(orphan_count(df.filter(F.col(col).isNotNull()), col, getattr(t, parent), pcol, "violations")
                    .select(*label(f"foreign_key:{col}->{parent}.{pcol}"), "violations"))
     return out
 
