@@ -18,9 +18,6 @@ HIGH_PRIORITY = ("high", "urgent")
 RETAINED, CHURN_MONTH, PRE_CHURN, OTHER = "retained", "churn_month", "pre_churn_3m", "other"
 PRE_CHURN_MONTHS = (1, 3)
 
-SUPPORT_METRICS = ("tickets_opened", "tickets_closed", "avg_resolution_hours", "avg_first_response_minutes",
-                   "avg_satisfaction_score", "high_priority_tickets", "escalated_tickets")
-
 
 def support_account_month(tickets: DataFrame, high_priority: tuple[str, ...] = HIGH_PRIORITY) -> DataFrame:
     """D1 + D2: ticket metrics per (month_start, account_id) of submission."""

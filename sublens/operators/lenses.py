@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sublens.functions.columns import avg_num, count_if, money_total, ratio
 from sublens.operators.calendar import month_calendar
-from sublens.operators.snapshot import account_mrr_month
 from sublens.operators.state import account_month_flows
 from sublens.sources.tables import Tables
 
@@ -157,7 +156,3 @@ def preview(df: DataFrame, n: int | None) -> DataFrame:
         keys.append(F.col("plan_tier").asc_nulls_last())
     out = df.orderBy(*keys)
     return out.limit(n) if n is not None else out
-
-
-def snapshot_for(tables: Tables) -> DataFrame:
-    return account_mrr_month(tables.subscriptions)

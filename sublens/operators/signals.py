@@ -32,7 +32,6 @@ SIGNALS = (("tickets_opened", "tickets", True),
            ("total_usage_count", "usage", True),
            ("distinct_features_used", "features", False),
            ("active_flag", "share_active", False))
-UNUSED_AVERAGES = ("avg_resolution_hours", "avg_first_response_minutes", "avg_satisfaction_score")
 WINDOW_AVERAGES = (("tickets_opened", "avg_tickets_opened"),
                    ("high_priority_tickets", "avg_high_priority_tickets"),
                    ("escalated_tickets", "avg_escalated_tickets"),
@@ -45,13 +44,6 @@ WINDOW_AVERAGES = (("tickets_opened", "avg_tickets_opened"),
 KEYS = ("account_id", "anchor_type", "anchor_month")
 
 
-def account_signal_columns() -> list[str]:
-    cols = list(KEYS)
-    for _, stem, pct in SIGNALS:
-        cols += [f"{stem}_recent_3m", f"{stem}_prior_3m", f"{stem}_delta"] + ([f"{stem}_delta_pct"] if pct else [])
-    return cols
-
-
 def snapshot_with_anchor(snapshot: DataFrame) -> DataFrame:
     """D20 + D21 per snapshot row: churn_month, last_month, anchor_month, anchor_type, and
     the plan tier at the anchor month (D34), all as window aggregates per account."""

@@ -20,8 +20,6 @@ from pyspark.sql import DataFrame, functions as F
 from sublens.functions.columns import month_of
 from sublens.operators.calendar import bound_scalars
 
-SNAPSHOT_COLUMNS = ("month_start", "account_id", "subscription_id", "plan_tier", "seats", "mrr_amount")
-
 
 def active_month_rows(subscriptions: DataFrame) -> DataFrame:
     """One row per (subscription, month) in which the subscription is active at month end."""

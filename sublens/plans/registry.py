@@ -12,7 +12,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sublens.sources.fixture import derive_tables
-from sublens.sources.tables import Tables
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, QueryFn] = {}
@@ -40,7 +39,3 @@ def all_queries() -> dict[str, QueryFn]:
     # Importing the modules registers their queries.
     from sublens.plans import queries_core, queries_drivers, queries_io  # noqa: F401
     return dict(_QUERIES)
-
-
-def tables_for(spark: SparkSession, sf_dir: str) -> Tables:
-    return derive_tables(spark, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from sublens.session import scratch_path
-from sublens.sources.schemas import FEATURE_USAGE_FILE, FILE_SCHEMAS, TABLE_SCHEMAS, enforce
+from sublens.sources.schemas import FILE_SCHEMAS, TABLE_SCHEMAS, enforce
 from sublens.sources.tables import Tables
 
 READ_OPTIONS = {"header": "true", "mode": "FAILFAST", "escape": '"', "quote": '"', "multiLine": "true",
