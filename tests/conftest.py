@@ -17,6 +17,7 @@ from sublens.sources.tables import Tables  # noqa: E402
 
 SF_SMALL = "/root/testdata/sf0.001"
 SF_MID = "/root/testdata/sf0.01"
+SF_LARGE = "/root/testdata/sf0.1"
 
 
 @pytest.fixture(scope="session")

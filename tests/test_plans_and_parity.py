@@ -8,7 +8,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SF_MID, SF_SMALL
+from conftest import SF_LARGE, SF_MID, SF_SMALL
 
 import __spark_entry__ as entry
 
@@ -45,7 +45,7 @@ def test_raw_rows_are_pre_aggregated_before_the_shuffle(spark, name, partial):
     assert partial in plan
 
 
-@pytest.mark.parametrize("sf", [SF_SMALL, SF_MID])
+@pytest.mark.parametrize("sf", [SF_SMALL, SF_MID, SF_LARGE])
 def test_invariants(spark, sf):
     q = entry.queries()
     assert all(r.diff == 0 for r in q["check_mrr_reconciliation"](spark, sf).collect())
