@@ -92,7 +92,7 @@ def test_packing(spark, texts, capacity):
     lib = library("word_bpe_49k.json")
     rows = op10_packing.pack(docs, vocabulary_file("word_bpe_49k.json"), capacity).collect()
     n = check_packing(rows, dict(enumerate([*texts, None])), capacity, lib)
-    assert n <= -(-sum(r.length for r in rows) // capacity) + 2
+    assert n <= 1.01 * sum(r.length for r in rows) / capacity + 2
 
 
 def test_packing_repeats_and_empty(spark):
