@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sublens.llm import op2_bpe, op4_token_counts, op10_packing
+from sublens.llm import op2_bpe, op4_token_counts, op5_quality, op6_secrets, op9_language, op10_packing
 from sublens.llm.common import documents, remainder
 
 
@@ -26,6 +26,19 @@ def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_token_counts.token_counts(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op5_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return op5_quality.quality(documents(spark, sf_dir), labels, remainder(F.col("doc_id"), 3) == 1)
+
+
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_secrets.secrets(documents(spark, sf_dir)).drop("found")
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_language.language_id(documents(spark, sf_dir), remainder(F.col("doc_id"), 4) == 2)
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack(documents(spark, sf_dir), vocabulary_file("word_bpe_49k.json"))
 
