@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sublens.llm import op2_bpe, op4_token_counts, op5_quality, op6_secrets, op9_language, op10_packing
+from sublens.llm import op2_bpe, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op9_language, op10_packing
 from sublens.llm.common import documents, remainder
 
 
@@ -35,6 +35,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_secrets.secrets(documents(spark, sf_dir)).drop("found")
 
 
+def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_fingerprints.edited_and_next(documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_language.language_id(documents(spark, sf_dir), remainder(F.col("doc_id"), 4) == 2)
 
