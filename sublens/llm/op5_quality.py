@@ -62,9 +62,10 @@ def _weights(held: DataFrame, buckets: int) -> DataFrame:
     return held.mapInArrow(run, "label int, buckets binary, shares binary")
 
 
-def train(labelled: DataFrame, buckets: int = BUCKETS, dim: int = DIM, per_label: int = PER_LABEL, epochs: int = 6, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(log odds of label 1 that each feature adds, the bias) from rows doc_id, text, label (0 or 1)."""
-    ids = labelled.select("doc_id", "label")
+def train(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, dim: int = DIM, per_label: int = PER_LABEL, epochs: int = 6, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(log odds of label 1 that each feature adds, the bias) from docs (doc_id, text) whose ids
+    are in known (doc_id, label 0 or 1).  Only ids are shuffled to find the sample."""
+    ids = docs.select("doc_id").join(known, "doc_id")
     totals = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not totals:
         return np.zeros(buckets + 1), 0.0
@@ -74,7 +75,7 @@ def train(labelled: DataFrame, buckets: int = BUCKETS, dim: int = DIM, per_label
     for label in sorted(totals):
         some = ids.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.unionByName(some)
-    sample = labelled.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # per_label rows of each label at most
+    sample = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id")  # per_label rows of each label at most
     table = _weights(sample.select("label", "text"), buckets).toArrow()
     contents = table.column("buckets").to_pylist()
     table = table.take(sorted(range(len(contents)), key=contents.__getitem__))  # whatever order the tasks ended in
@@ -139,11 +140,11 @@ def predict(docs: DataFrame, model: tuple[np.ndarray, float], passing: str) -> D
     return docs.mapInArrow(run, f"{passing}, score double, predicted int")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> DataFrame:
-    """doc_id, text, label: documents (doc_id, text) that have a label; of several labels the
-    majority counts (ties: 1); null ids and labels other than 0 and 1 are ignored."""
-    known = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
-    return docs.join(known, "doc_id")
+def known_labels(labels: DataFrame, label_col: str = "quality") -> DataFrame:
+    """doc_id, label: of several labels of an id the majority counts (ties: 1); null ids and
+    labels other than 0 and 1 are ignored."""
+    usable = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull())
+    return usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg(label_col) >= 0.5).cast("int").alias("label"))
 
 
 def quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", per_label: int = PER_LABEL) -> DataFrame:
@@ -155,5 +156,5 @@ def quality(docs: DataFrame, labels: DataFrame, held_out: Column, id_col: str =
     repeat; other columns are ignored; an empty table gives an empty result.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out.alias("held_out"), F.col(text_col).cast("string").alias("text"))
-    model = train(labelled_rows(rows.where(~F.col("held_out")).select("doc_id", "text"), labels, label_col), per_label=per_label)
+    model = train(rows.where(~F.col("held_out")), known_labels(labels, label_col), per_label=per_label)
     return predict(rows, model, "doc_id bigint, held_out boolean")

@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sublens.llm import op2_bpe, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op9_language, op10_packing
+from sublens.llm import op1_hmm, op2_bpe, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op9_language, op10_packing
 from sublens.llm.common import documents, remainder
 
 
@@ -18,6 +18,10 @@ def vocabulary_file(name: str) -> bytes:
         return f.read()
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op1_hmm.score(documents(spark, sf_dir), remainder(F.col("doc_id"), 5) == 1)
+
+
 def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_bpe.round_trip_digests(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
