@@ -135,7 +135,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """doc_id and the fingerprint of every row's whole text (a null text is empty)."""
     def run(batches):
         for whole in batches:
-            for batch in text_slices(whole, most=2_000_000):
+            for batch in text_slices(whole, most=400_000):
                 found = [shown(s) for s in sketches([t or "" for t in batch.column("text").to_pylist()])]
                 yield pa.record_batch([batch.column("doc_id"), pa.array(found)], names=["doc_id", "fingerprint"])
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -193,7 +193,7 @@ def edited_and_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def run(batches):
         ids, texts, ends = [], [], []  # the last row so far waits for the one after it
         for whole in batches:
-            for batch in text_slices(whole, most=2_000_000):
+            for batch in text_slices(whole, most=400_000):
                 ids += batch.column("doc_id").to_pylist()
                 texts += batch.column("text").to_pylist()
                 ends += batch.column("end").to_pylist()
