@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sublens.llm import op1_hmm, op2_bpe, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op9_language, op10_packing
+from sublens.llm import op1_hmm, op2_bpe, op3_chosen_path, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op9_language, op10_packing
 from sublens.llm.common import documents, remainder
 
 
@@ -26,6 +26,10 @@ def op2_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_bpe.round_trip_digests(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_chosen_path.join(documents(spark, sf_dir)).select("doc_id", "class_id", "copy_id", "n_links")
+
+
 def op4_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_token_counts.token_counts(documents(spark, sf_dir), vocabulary_file("byte_bpe_50k.json"))
 
