@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sublens.llm import op1_hmm, op2_bpe, op3_chosen_path, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op9_language, op10_packing
+from sublens.llm import op1_hmm, op2_bpe, op3_chosen_path, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op8_neighbours, op9_language, op10_packing
 from sublens.llm.common import documents, remainder
 
 
@@ -47,6 +47,10 @@ def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_fingerprints.edited_and_next(documents(spark, sf_dir))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_neighbours.nearest_neighbours(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op9_language.language_id(documents(spark, sf_dir), remainder(F.col("doc_id"), 4) == 2)
 
