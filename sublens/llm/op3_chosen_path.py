@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, functions as F
 from sublens.llm.common import MIX_A, MIX_B, drop_scratch, mix, prefix_sums, span_hashes, text_slices, words, written
 from sublens.llm.components import components
 
-GRAM, THRESHOLD, RECALL, DEPTH, SMALL, BLOCK = 5, 0.8, 0.9999, 3, 256, 1024
+GRAM, THRESHOLD, RECALL, DEPTH, SMALL, BLOCK = 5, 0.8, 0.999999, 3, 256, 1024
 SIGNED = "rid bigint, doc_id bigint, text_hash bigint, n int, digest binary, choices binary, shingles binary"
 ROW = "key bigint, i int, j int, block int, run int, rep bigint, n int, choices binary, depths binary"
 
