@@ -15,6 +15,7 @@ from pyspark.sql import Column, functions as F
 
 AVG_DIGITS = 6
 SCALE = 10.0 ** AVG_DIGITS
+WHOLE = 2.0 ** 53  # doubles from here on are whole numbers
 MONEY_TOTAL = "decimal(18,2)"
 
 
@@ -46,8 +47,11 @@ def count_if(cond: Column) -> Column:
 
 def round6(x) -> Column:
     """x rounded half-up to 6 decimals with plain IEEE operations (floor(x*1e6 + 0.5) / 1e6),
-    so any engine computing the same formula from the same double gets the same result."""
-    return F.floor(_c(x) * F.lit(SCALE) + F.lit(0.5)) / F.lit(SCALE)
+    so any engine computing the same formula from the same double gets the same result.
+    From WHOLE / 1e6 on a double has no such decimals left and stays as it is (floor would
+    saturate at the largest bigint)."""
+    v = _c(x).cast("double")
+    return F.when(F.abs(v) < F.lit(WHOLE / SCALE), F.floor(v * F.lit(SCALE) + F.lit(0.5)) / F.lit(SCALE)).otherwise(v)
 
 
 def _filtered(c, where: Column | None) -> Column:
@@ -70,7 +74,8 @@ def avg_6dp(c, where: Column | None = None) -> Column:
     """AVG of values that are themselves rounded to 6 places (averages of averages, deltas):
     summed exactly as integer millionths."""
     v = _filtered(c, where)
-    micro = F.floor(v * F.lit(SCALE) + F.lit(0.5))
+    scaled = v.cast("double") * F.lit(SCALE)
+    micro = F.when(F.abs(scaled) < F.lit(WHOLE), F.floor(scaled + F.lit(0.5)).cast("decimal(38,0)")).otherwise(scaled.cast("decimal(38,0)"))
     return round6(_mean(F.sum(micro), F.count(v)) / F.lit(SCALE))
 
 

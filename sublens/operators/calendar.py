@@ -8,8 +8,6 @@ that bound is what makes it safe to broadcast or inline as a scalar.
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sublens.functions.columns import month_of
@@ -23,23 +21,13 @@ def month_bounds(subscriptions: DataFrame) -> DataFrame:
     )
 
 
-# One bounds subquery per subscriptions frame: every operator of a query that needs the
-# calendar refers to the same scalar-subquery expression, so Spark evaluates the global
-# aggregate (one pass over the subscriptions) once and reuses it, instead of planning a
-# separate scan of the source for each use.
-_BOUNDS: OrderedDict[int, tuple[DataFrame, Column]] = OrderedDict()
-_BOUNDS_KEEP = 64
-
-
 def _bounds_struct(subscriptions: DataFrame) -> Column:
-    hit = _BOUNDS.get(id(subscriptions))
-    if hit is not None and hit[0] is subscriptions:
-        return hit[1]
-    b = month_bounds(subscriptions).select(F.struct("min_month", "max_month").alias("b")).scalar()
-    _BOUNDS[id(subscriptions)] = (subscriptions, b)
-    while len(_BOUNDS) > _BOUNDS_KEEP:
-        _BOUNDS.popitem(last=False)
-    return b
+    """One bounds subquery per subscriptions frame, kept on the frame: every operator of a query
+    that needs the calendar refers to the same scalar subquery, so Spark evaluates the global
+    aggregate once instead of planning a separate scan of the source for each use."""
+    if "_month_bounds" not in subscriptions.__dict__:
+        subscriptions.__dict__["_month_bounds"] = month_bounds(subscriptions).select(F.struct("min_month", "max_month").alias("b")).scalar()
+    return subscriptions.__dict__["_month_bounds"]
 
 
 def bound_scalars(subscriptions: DataFrame) -> tuple[Column, Column]:

@@ -7,7 +7,6 @@ or month x tier), so nothing is collected to the driver.
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
@@ -143,7 +142,6 @@ def mix_stack_offsets(mix: DataFrame, tiers: list[str] | None = None) -> DataFra
 
 def scoreboard_trend_long(trends: DataFrame) -> DataFrame:
     """(month_start, series, title, value) for the three trend panels."""
-    parts = [trends.select("month_start", F.lit(col).alias("series"), F.lit(title).alias("title"),
-                           F.col(col).alias("value"))
-             for title, col in TREND_SERIES]
-    return reduce(DataFrame.unionByName, parts)
+    titles = F.create_map(*[F.lit(x) for title, col in TREND_SERIES for x in (col, title)])
+    long = trends.unpivot("month_start", [col for _, col in TREND_SERIES], "series", "value")
+    return long.select("month_start", "series", titles[F.col("series")].alias("title"), "value")

@@ -38,12 +38,12 @@ def q_reload(t: Tables, spark: SparkSession):
 @query("reload_streaming")
 def q_reload_streaming(t: Tables, spark: SparkSession):
     """Incremental (streaming) load run twice over the same files; counts must not double."""
-    from sublens.streaming.landing import load_all_incrementally
+    from sublens.streaming.landing import load_all_incrementally, read_landed
     csv_folder, warehouse = scratch_path(spark, "export"), scratch_path(spark, "landing")
     csv_io.export_tables(t, csv_folder)
     load_all_incrementally(spark, csv_folder, warehouse)
     paths = load_all_incrementally(spark, csv_folder, warehouse)
-    loaded = Tables(**{name: spark.read.parquet(path) for name, path in paths.items()})
+    loaded = Tables(**{name: read_landed(spark, name, path) for name, path in paths.items()})
     return quality.row_counts(loaded)
 
 

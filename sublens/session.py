@@ -20,34 +20,41 @@ SESSION_CONF = {
 }
 
 
-def build_session(master: str = "local[*]", shuffle_partitions: int = 8, app: str = "sublens",
+def build_session(master: str | None = None, shuffle_partitions: int | None = None, app: str = "sublens",
                   extra: dict | None = None) -> SparkSession:
-    builder = SparkSession.builder.master(master).appName(app)
+    """A session with SESSION_CONF.  Master and number of shuffle partitions are set only when
+    given, so a submitted job keeps the cluster's own."""
+    builder = SparkSession.builder.appName(app)
+    if master:
+        builder = builder.master(master)
     conf = dict(SESSION_CONF)
-    conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
+_LOCAL_SCRATCH: dict[str, str] = {}  # application id -> folder, of local sessions without a setting
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder the cluster names in spark.checkpoint.dir.
+    """The shared checkpoint folder the cluster names in spark.checkpoint.dir.
 
-    On a cluster the setting is given and is used as is.  Only when it is unset (local
-    runs and tests) a scratch folder is created and registered.
+    Where it is unset, a local session gets a temporary folder; on a cluster that would be a
+    folder of one machine, so it is an error there.
     """
-    current = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    current = spark.conf.get("spark.checkpoint.dir", None) or _LOCAL_SCRATCH.get(context.applicationId)
     if not current:
-        current = tempfile.mkdtemp(prefix="sublens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # noqa: BLE001 - no SparkContext in a Spark Connect client; the conf is used
-        pass
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        current = _LOCAL_SCRATCH[context.applicationId] = tempfile.mkdtemp(prefix="sublens-ckpt-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(current)
     return current
 
 

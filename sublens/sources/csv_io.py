@@ -15,23 +15,29 @@ from sublens.session import scratch_path
 from sublens.sources.schemas import FILE_SCHEMAS, TABLE_SCHEMAS, enforce
 from sublens.sources.tables import Tables
 
-READ_OPTIONS = {"header": "true", "mode": "FAILFAST", "escape": '"', "quote": '"', "multiLine": "true",
-                "enforceSchema": "true"}
+READ_OPTIONS = {"header": "true", "mode": "FAILFAST", "escape": '"', "quote": '"', "enforceSchema": "true"}
+# Tables whose text columns may hold line breaks.  Such a file is read by one task; the others are
+# split at line ends.
+MULTI_LINE = frozenset({"churn_events"})
 WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false",
                  "ignoreTrailingWhiteSpace": "false"}
 
 
-def read_csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    return spark.read.schema(schema).options(**READ_OPTIONS).csv(path)
+def read_csv(spark: SparkSession, path: str, schema: StructType, multi_line: bool = False) -> DataFrame:
+    return spark.read.schema(schema).options(**READ_OPTIONS).option("multiLine", multi_line).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**WRITE_OPTIONS).csv(path)
 
 
-def load_table(spark: SparkSession, name: str, path: str) -> DataFrame:
-    """Typed frame of one table from its headed CSV; usage gets a generated row_id."""
-    df = read_csv(spark, path, FILE_SCHEMAS[name])
+def load_table(spark: SparkSession, name: str, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Typed frame of one table from its headed CSV; usage gets a generated row_id, which
+    is drawn anew by each action: `reload` writes it once.
+
+    multi_line: whether a quoted value may hold line breaks; by default only for MULTI_LINE.
+    Set it for accounts whose names hold line breaks."""
+    df = read_csv(spark, path, FILE_SCHEMAS[name], name in MULTI_LINE if multi_line is None else multi_line)
     if name == "feature_usage_raw":
         df = enforce(df.withColumn("row_id", F.monotonically_increasing_id()), TABLE_SCHEMAS[name])
     return df
@@ -44,7 +50,7 @@ def export_tables(tables: Tables, folder: str) -> None:
 
 
 def load_tables(spark: SparkSession, folder: str) -> Tables:
-    return Tables(**{name: load_table(spark, name, f"{folder}/{name}.csv") for name in FILE_SCHEMAS}).spread()
+    return Tables(**{name: load_table(spark, name, f"{folder}/{name}.csv") for name in FILE_SCHEMAS})
 
 
 def reload(spark: SparkSession, csv_folder: str, warehouse: str) -> Tables:
@@ -65,4 +71,4 @@ def freeze(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Write an extract as headed CSV and read it back with its own schema."""
     path = scratch_path(spark, f"extract-{name}")
     write_csv(df, path)
-    return read_csv(spark, path, df.schema)
+    return read_csv(spark, path, df.schema, multi_line=True)

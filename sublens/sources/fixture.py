@@ -152,19 +152,9 @@ def churn_events_from(orders: DataFrame) -> DataFrame:
     ), CHURN_EVENTS)
 
 
-# Built plans are immutable and lazy, so one derivation per (session, folder) is reused by
-# every query of a run; the files are still read afresh each time a query executes.  This
-# keeps the driver-side cost of building the expressions out of every query's latency.
-_DERIVED: dict[tuple[int, str], tuple[SparkSession, Tables]] = {}
-
-
 def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     """The five tables for one scale-factor folder of driver parquet files."""
-    key = (id(spark), sf_dir.rstrip("/"))
-    hit = _DERIVED.get(key)
-    if hit is None or hit[0] is not spark:
-        hit = _DERIVED[key] = (spark, _derive(spark, key[1]).spread())
-    return hit[1]
+    return _derive(spark, sf_dir.rstrip("/"))
 
 
 def _derive(spark: SparkSession, sf_dir: str) -> Tables:

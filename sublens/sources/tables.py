@@ -7,18 +7,10 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Round-robin repartition `df` when its scan yields fewer partitions than the cluster's
-    parallelism (a single unsplittable file: one Parquet row group, a gzip CSV), so the
-    row-multiplying and map-side aggregation steps that follow run on every core.  Inputs
-    that already arrive in enough splits -- every large table -- are returned unchanged."""
-    spark = df.sparkSession
-    try:
-        target = min_partitions or spark.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD access (Spark Connect): leave the layout to Spark
-        return df
-    return df.repartition(target) if have < target else df
+def spread(df: DataFrame, min_partitions: int) -> DataFrame:
+    """Round-robin repartition for a caller whose source yields too few splits (one unsplittable
+    file); no operator or loader does this by itself."""
+    return df.repartition(min_partitions)
 
 
 @dataclass(frozen=True)
@@ -35,8 +27,8 @@ class Tables:
     def with_table(self, name: str, df: DataFrame) -> "Tables":
         return replace(self, **{name: df})
 
-    def spread(self, min_partitions: int | None = None) -> "Tables":
-        """Tables whose source yields fewer partitions than the cluster can run at once."""
+    def spread(self, min_partitions: int) -> "Tables":
+        """All tables spread over `min_partitions` partitions, if the caller asks for it."""
         return Tables(**{name: spread(df, min_partitions) for name, df in self.items()})
 
     @classmethod

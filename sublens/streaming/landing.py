@@ -16,17 +16,26 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sublens.session import ensure_checkpoint_dir
-from sublens.sources.csv_io import READ_OPTIONS
-from sublens.sources.schemas import FILE_SCHEMAS, TABLE_NAMES
+from sublens.sources.csv_io import MULTI_LINE, READ_OPTIONS
+from sublens.sources.schemas import FILE_SCHEMAS, TABLE_NAMES, TABLE_SCHEMAS, enforce
 
 
 def landing_stream(spark: SparkSession, name: str, source_dir: str) -> DataFrame:
     """Streaming DataFrame over the headed CSV files of one table (typed, FAILFAST)."""
-    return (spark.readStream.schema(FILE_SCHEMAS[name]).options(**READ_OPTIONS)
-            .option("maxFilesPerTrigger", 1000).csv(source_dir))
+    return (spark.readStream.schema(FILE_SCHEMAS[name]).options(**READ_OPTIONS).option("multiLine", name in MULTI_LINE)
+            .option("maxFilesPerTrigger", 1000).csv(source_dir))  # the size of a batch; all files are taken
+
+
+def read_landed(spark: SparkSession, name: str, folder: str) -> DataFrame:
+    """The typed table that incremental loads have written; usage rows get their row_id here
+    (unique in one read; streams cannot number rows)."""
+    landed = spark.read.parquet(folder)
+    if name == "feature_usage_raw":
+        landed = landed.withColumn("row_id", F.monotonically_increasing_id())
+    return enforce(landed, TABLE_SCHEMAS[name])
 
 
 def load_incrementally(spark: SparkSession, name: str, source_dir: str, target_dir: str,

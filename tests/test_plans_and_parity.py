@@ -120,9 +120,37 @@ def test_oracle_parity(spark, duck, name):
     assert _canon(sdf.columns, [tuple(r) for r in sdf.collect()]) == _canon(rel.columns, rel.fetchall())
 
 
-def test_single_split_inputs_are_spread(spark):
+def test_inputs_are_spread_only_on_request(spark):
+    from sublens.sources.fixture import derive_tables
     from sublens.sources.tables import spread
-    one = spark.range(1000).coalesce(1)
-    assert spread(one, 4).rdd.getNumPartitions() == 4
-    many = spark.range(1000).repartition(6)
-    assert spread(many, 4) is many  # enough splits already: unchanged
+    assert spread(spark.range(10).coalesce(1), 4).rdd.getNumPartitions() == 4
+    plan = derive_tables(spark, SF_SMALL).subscriptions._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobin" not in plan
+
+
+def test_rounding_has_no_cap(spark):
+    from sublens.functions.columns import avg_num, round6
+    df = spark.createDataFrame([(1e13,), (1e13,)], "v double")
+    assert df.select(round6("v").alias("r")).first().r == 1e13
+    assert df.agg(avg_num("v").alias("r")).first().r == 1e13
+
+
+def test_session_keeps_what_it_is_not_told(spark):
+    from sublens.session import build_session, ensure_checkpoint_dir
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    assert build_session().conf.get("spark.sql.shuffle.partitions") == before
+    assert ensure_checkpoint_dir(spark)
+
+
+def test_one_large_usage_file_is_split(spark, tmp_path):
+    from sublens.sources.csv_io import load_table
+    from sublens.sources.schemas import FILE_SCHEMAS
+    line = "u{0},s{0},2024-01-01,f,1,60,0,false\n"
+    header = ",".join(FILE_SCHEMAS["feature_usage_raw"].names) + "\n"
+    (tmp_path / "u.csv").write_text(header + "".join(line.format(i) for i in range(120_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    try:
+        df = load_table(spark, "feature_usage_raw", str(tmp_path / "u.csv"))
+        assert df.rdd.getNumPartitions() > 2 and df.count() == 120_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
