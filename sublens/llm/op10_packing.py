@@ -103,10 +103,10 @@ def pieces(docs: DataFrame, tokenizer: bytes, capacity: int = 4096, end_id: int
         library.no_truncation()
         library.no_padding()
         model = library.model
-        memo = Memo(lambda items: _solve(model, items), most=200_000)
+        memo = Memo(lambda items: _solve(model, items), most=100_000)
         task, used = TaskContext.get().partitionId(), [0] * (capacity + 1)
         for whole in batches:
-            for batch in text_slices(whole, most=2_000_000):
+            for batch in text_slices(whole, most=500_000):
                 rows = [[] for _ in range(7 + with_ids)]
                 texts = [x or "" for x in batch.column("text").to_pylist()]
                 for doc_id, ids in zip(batch.column("doc_id").to_pylist(), _ids(texts, library, memo)):
