@@ -1,5 +1,5 @@
 """Column-level helpers shared by the operators (all built-in Spark expressions)."""
 
 from sublens.functions.columns import (  # noqa: F401
-    avg_6dp, avg_num, avg_real, count_if, money_total, month_diff, month_of, ratio, round6, share,
+    average, count_if, money_total, month_diff, month_of, ratio, round6, share,
 )

@@ -2,10 +2,9 @@
 
 * months are DATE values at the first of the month;
 * rates divide doubles and yield NULL for a zero denominator (never raise under ANSI);
-* averages are exact sums divided once (integers and decimals as they are, values already
-  rounded to 6 places as integer millionths), then rounded to AVG_DIGITS places with plain
-  IEEE arithmetic, so the result depends neither on the order partial sums are combined
-  in nor on the engine;
+* averages are a sum divided once by the count, unrounded: sums of integers and decimals are
+  exact, so the quotient depends neither on the order partial sums are combined in nor on
+  the engine (round6 is for comparing averages of doubles, in registered queries only);
 * money totals are decimal(18,2): numeric(12,2) overflows once totals pass 10^10.
 """
 
@@ -63,25 +62,10 @@ def _mean(total: Column, n: Column) -> Column:
     return F.when(n > 0, total.cast("double") / n)
 
 
-def avg_num(c, where: Column | None = None) -> Column:
-    """AVG of an integer or decimal column: the sum is exact, so the mean (one division,
-    rounded to 6 places) does not depend on the order partial sums are combined in."""
+def average(c, where: Column | None = None) -> Column:
+    """AVG of a numeric column as double, unrounded; NULL when no row has a value."""
     v = _filtered(c, where)
-    return round6(_mean(F.sum(v), F.count(v)))
-
-
-def avg_6dp(c, where: Column | None = None) -> Column:
-    """AVG of values that are themselves rounded to 6 places (averages of averages, deltas):
-    summed exactly as integer millionths."""
-    v = _filtered(c, where)
-    scaled = v.cast("double") * F.lit(SCALE)
-    micro = F.when(F.abs(scaled) < F.lit(WHOLE), F.floor(scaled + F.lit(0.5)).cast("decimal(38,0)")).otherwise(scaled.cast("decimal(38,0)"))
-    return round6(_mean(F.sum(micro), F.count(v)) / F.lit(SCALE))
-
-
-def avg_real(c, where: Column | None = None) -> Column:
-    """AVG of arbitrary doubles (e.g. ratios), rounded to 6 places."""
-    return round6(F.avg(_filtered(c, where).cast("double")))
+    return _mean(F.sum(v), F.count(v))
 
 
 def share(cond: Column) -> Column:

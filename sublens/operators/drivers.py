@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sublens.functions.columns import avg_6dp, avg_num, count_if, month_diff, month_of
+from sublens.functions.columns import average, count_if, month_diff, month_of
 from sublens.sources.tables import Tables
 
 # Priorities that count as high (after lower + trim), cohort labels.
@@ -25,19 +25,19 @@ def support_account_month(tickets: DataFrame, high_priority: tuple[str, ...] = H
     return (tickets.groupBy(month_of("submitted_at").alias("month_start"), "account_id")
             .agg(F.count(F.lit(1)).alias("tickets_opened"),
                  count_if(closed).alias("tickets_closed"),
-                 avg_num("resolution_time_hours", closed).alias("avg_resolution_hours"),
-                 avg_num("first_response_time_minutes").alias("avg_first_response_minutes"),
-                 avg_num("satisfaction_score").alias("avg_satisfaction_score"),
+                 average("resolution_time_hours", closed).alias("avg_resolution_hours"),
+                 average("first_response_time_minutes").alias("avg_first_response_minutes"),
+                 average("satisfaction_score").alias("avg_satisfaction_score"),
                  count_if(F.lower(F.trim("priority")).isin(*high_priority)).alias("high_priority_tickets"),
                  count_if(F.col("escalation_flag") == F.lit(True)).alias("escalated_tickets")))
 
 
 def support_distribution(support: DataFrame) -> DataFrame:
     """D5."""
-    return support.agg(avg_num("tickets_opened").alias("avg_tickets_opened"),
+    return support.agg(average("tickets_opened").alias("avg_tickets_opened"),
                        F.max("tickets_opened").alias("max_tickets_opened"),
-                       avg_num("high_priority_tickets").alias("avg_high_priority"),
-                       avg_num("escalated_tickets").alias("avg_escalated"))
+                       average("high_priority_tickets").alias("avg_high_priority"),
+                       average("escalated_tickets").alias("avg_escalated"))
 
 
 def usage_account_month(tables: Tables) -> DataFrame:
@@ -59,9 +59,9 @@ def usage_account_month(tables: Tables) -> DataFrame:
 
 def usage_distribution(usage: DataFrame) -> DataFrame:
     """D9."""
-    return usage.agg(avg_num("total_usage_count").alias("avg_total_usage"),
+    return usage.agg(average("total_usage_count").alias("avg_total_usage"),
                      F.max("total_usage_count").alias("max_total_usage"),
-                     avg_num("distinct_features_used").alias("avg_distinct_features"),
+                     average("distinct_features_used").alias("avg_distinct_features"),
                      F.max("distinct_features_used").alias("max_distinct_features"))
 
 
@@ -187,18 +187,10 @@ DRIVER_AVERAGES = (("tickets_opened", "avg_tickets_opened"),
                    ("active_flag", "share_active"))
 
 
-# Per-ticket averages arrive rounded to 6 places; the other inputs are integer counts.
-ROUNDED_INPUTS = ("avg_resolution_hours", "avg_first_response_minutes", "avg_satisfaction_score")
-
-
-def average_of(col: str, where: Column | None = None) -> Column:
-    return avg_6dp(col, where) if col in ROUNDED_INPUTS else avg_num(col, where)
-
-
 def churn_driver_table(rows: DataFrame) -> DataFrame:
     """Per cohort label, rows, distinct accounts and unweighted averages of the
     account-month values (averages of averages, as defined)."""
     return rows.groupBy("cohort_label").agg(
         F.count(F.lit(1)).alias("account_month_rows"),
         F.countDistinct("account_id").alias("accounts"),
-        *[average_of(src).alias(dst) for src, dst in DRIVER_AVERAGES])
+        *[average(src).alias(dst) for src, dst in DRIVER_AVERAGES])

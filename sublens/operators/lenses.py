@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sublens.functions.columns import avg_num, count_if, money_total, ratio
+from sublens.functions.columns import average, count_if, money_total, ratio
 from sublens.operators.calendar import month_calendar
 from sublens.operators.state import account_month_flows
 from sublens.sources.tables import Tables
@@ -131,7 +131,7 @@ def mix_shift_by_plan_month(snapshot: DataFrame) -> DataFrame:
     return (snapshot.groupBy("month_start", "plan_tier")
             .agg(count_if(paying).alias("paying_accounts"),
                  money_total("mrr_amount", paying).alias("total_mrr"),
-                 avg_num("mrr_amount", paying).alias("avg_mrr_per_account")))
+                 average("mrr_amount", paying).alias("avg_mrr_per_account")))
 
 
 def check_mrr_reconciliation(waterfall: DataFrame) -> DataFrame:

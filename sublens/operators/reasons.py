@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from sublens.functions.columns import count_if, ratio, round6
+from sublens.functions.columns import count_if, ratio
 from sublens.operators.drivers import CHURN_MONTH, cohorts_with_tier
 
 UNKNOWN_REASON = "unknown"
@@ -57,7 +57,7 @@ def reason_code_by_tier(rows: DataFrame) -> DataFrame:
 
 def reason_share_sum(by_tier: DataFrame) -> DataFrame:
     """share_within_tier summed per tier (1 up to rounding)."""
-    return by_tier.groupBy("plan_tier").agg(round6(F.sum("share_within_tier")).alias("share_sum"))
+    return by_tier.groupBy("plan_tier").agg(F.sum("share_within_tier").alias("share_sum"))
 
 
 def reason_missing(rows: DataFrame) -> DataFrame:

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sublens.functions.columns import avg_6dp, avg_real, count_if, month_diff, ratio, round6, share
+from sublens.functions.columns import average, count_if, month_diff, ratio, share
 from sublens.operators.drivers import (
-    attach_activity, average_of, observed_prev_mrr, support_account_month, usage_account_month,
+    attach_activity, observed_prev_mrr, support_account_month, usage_account_month,
 )
 from sublens.sources.tables import Tables
 
@@ -42,6 +42,7 @@ WINDOW_AVERAGES = (("tickets_opened", "avg_tickets_opened"),
                    ("distinct_features_used", "avg_distinct_features_used"),
                    ("active_flag", "share_active"))
 KEYS = ("account_id", "anchor_type", "anchor_month")
+JOINED_SUMS = ("total_usage_count", "distinct_features_used", "active_flag")
 
 
 def snapshot_with_anchor(snapshot: DataFrame) -> DataFrame:
@@ -86,7 +87,7 @@ def anchor_window_rows(tables: Tables, snapshot: DataFrame, with_tier: bool = Fa
 
 def anchor_window_averages(rows: DataFrame) -> DataFrame:
     """Per (account, anchor, window) averages of the window's observed months."""
-    return rows.groupBy(*KEYS, "window_label").agg(*[average_of(src).alias(dst) for src, dst in WINDOW_AVERAGES])
+    return rows.groupBy(*KEYS, "window_label").agg(*[average(src).alias(dst) for src, dst in WINDOW_AVERAGES])
 
 
 def _deltas(pivoted: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
@@ -104,13 +105,13 @@ def change_signals_account(rows: DataFrame, extra: tuple[str, ...] = ()) -> Data
     aggs = []
     for src, stem, _ in SIGNALS:
         for label in (RECENT, PRIOR):
-            aggs.append(average_of(src, F.col("window_label") == label).alias(f"{stem}_{label}"))
+            aggs.append(average(src, F.col("window_label") == label).alias(f"{stem}_{label}"))
     # Extra columns are constant per account (e.g. the tier at the anchor), so they ride
     # along as grouping keys; that keeps the aggregate a hash aggregate.
     return _deltas(rows.groupBy(*KEYS, *extra).agg(*aggs), extra)
 
 
-def anchor_window_rows_as_published(tables: Tables, snapshot: DataFrame) -> DataFrame:
+def anchor_window_rows_as_published(tables: Tables, snapshot: DataFrame, with_tier: bool = False) -> DataFrame:
     """D23 with the published usage join, one row per window month.
 
     The published join matches usage on the account only, and only for window months that
@@ -121,7 +122,7 @@ def anchor_window_rows_as_published(tables: Tables, snapshot: DataFrame) -> Data
     and the sums of the usage values over its joined rows, computed from per-account usage
     totals: the same information, linear in the window rows.
     """
-    windows = anchor_windows(snapshot)
+    windows = anchor_windows(snapshot, with_tier)
     support = support_account_month(tables.support_tickets).select(
         "account_id", "month_start", "tickets_opened", "high_priority_tickets", "escalated_tickets",
         "avg_resolution_hours", "avg_first_response_minutes", "avg_satisfaction_score")
@@ -148,25 +149,27 @@ def anchor_window_rows_as_published(tables: Tables, snapshot: DataFrame) -> Data
         on_ticket("a").alias("active_flag_sum"))
 
 
-def change_signals_account_as_published(tables: Tables, snapshot: DataFrame) -> DataFrame:
-    """D26 with the published usage join (see anchor_window_rows_as_published): window
-    averages weight each month by its join multiplicity."""
-    rows = anchor_window_rows_as_published(tables, snapshot)
+def _weighted(src: str, where: Column | None = None) -> Column:
+    """Average of a metric over the rows of the published join: each window month counts
+    `join_rows` times; usage metrics come as sums over those rows."""
     w = F.col("join_rows")
-    weighted = {"tickets_opened": w * F.col("tickets_opened"),
-                "high_priority_tickets": w * F.col("high_priority_tickets"),
-                "escalated_tickets": w * F.col("escalated_tickets"),
-                "total_usage_count": F.col("total_usage_count_sum"),
-                "distinct_features_used": F.col("distinct_features_used_sum"),
-                "active_flag": F.col("active_flag_sum")}
-    aggs = []
-    for src, stem, _ in SIGNALS:
-        for label in (RECENT, PRIOR):
-            inw = F.col("window_label") == label
-            num = F.sum(F.when(inw, weighted[src])).cast("double")
-            den = F.sum(F.when(inw, w)).cast("double")
-            aggs.append(round6(num / den).alias(f"{stem}_{label}"))
-    return _deltas(rows.groupBy(*KEYS).agg(*aggs))
+    num, den = (F.col(f"{src}_sum"), w) if src in JOINED_SUMS else (w * F.col(src), F.when(F.col(src).isNotNull(), w))
+    if where is not None:
+        num, den = F.when(where, num), F.when(where, den)
+    return F.sum(num).cast("double") / F.sum(den).cast("double")
+
+
+def anchor_window_averages_as_published(rows: DataFrame) -> DataFrame:
+    """D24 over anchor_window_rows_as_published."""
+    return rows.groupBy(*KEYS, "window_label").agg(*[_weighted(src).alias(dst) for src, dst in WINDOW_AVERAGES])
+
+
+def change_signals_account_as_published(tables: Tables, snapshot: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """D26 with the published usage join (see anchor_window_rows_as_published)."""
+    rows = anchor_window_rows_as_published(tables, snapshot, with_tier="anchor_tier" in extra)
+    aggs = [_weighted(src, F.col("window_label") == label).alias(f"{stem}_{label}")
+            for src, stem, _ in SIGNALS for label in (RECENT, PRIOR)]
+    return _deltas(rows.groupBy(*KEYS, *extra).agg(*aggs), extra)
 
 
 def signals_grain(signals: DataFrame) -> DataFrame:
@@ -213,19 +216,19 @@ SUMMARY_COLUMNS = ("anchor_type", "accounts", "accounts_with_usage_both_windows"
 
 def _signal_block() -> list[Column]:
     c = F.col
-    return [avg_6dp("usage_delta").alias("avg_usage_delta"),
-            avg_real("usage_delta_pct", c("usage_prior_3m") > 0).alias("avg_usage_delta_pct"),
+    return [average("usage_delta").alias("avg_usage_delta"),
+            average("usage_delta_pct", c("usage_prior_3m") > 0).alias("avg_usage_delta_pct"),
             share(c("usage_delta") < 0).alias("share_usage_declining"),
-            avg_6dp("features_delta").alias("avg_features_delta"),
+            average("features_delta").alias("avg_features_delta"),
             share(c("features_delta") < 0).alias("share_features_declining"),
-            avg_6dp("share_active_delta").alias("avg_share_active_delta"),
+            average("share_active_delta").alias("avg_share_active_delta"),
             share(c("share_active_delta") < 0).alias("share_active_declining"),
-            avg_6dp("tickets_delta").alias("avg_tickets_delta"),
-            avg_real("tickets_delta_pct", c("tickets_prior_3m") > 0).alias("avg_tickets_delta_pct"),
+            average("tickets_delta").alias("avg_tickets_delta"),
+            average("tickets_delta_pct", c("tickets_prior_3m") > 0).alias("avg_tickets_delta_pct"),
             share(c("tickets_delta") > 0).alias("share_tickets_increasing"),
-            avg_6dp("high_priority_delta").alias("avg_high_priority_delta"),
+            average("high_priority_delta").alias("avg_high_priority_delta"),
             share(c("high_priority_delta") > 0).alias("share_high_priority_increasing"),
-            avg_6dp("escalations_delta").alias("avg_escalations_delta")]
+            average("escalations_delta").alias("avg_escalations_delta")]
 
 
 def change_signals_summary(signals: DataFrame) -> DataFrame:
@@ -233,11 +236,13 @@ def change_signals_summary(signals: DataFrame) -> DataFrame:
     return signals.groupBy("anchor_type").agg(*_coverage(), *_signal_block()).select(*SUMMARY_COLUMNS)
 
 
-def change_signals_with_tier(tables: Tables, snapshot: DataFrame) -> DataFrame:
-    """Account signals + plan_tier of the snapshot row at the anchor month."""
-    rows = anchor_window_rows(tables, snapshot, with_tier=True)
-    return (change_signals_account(rows, extra=("anchor_tier",))
-            .withColumnRenamed("anchor_tier", "plan_tier"))
+def change_signals_with_tier(tables: Tables, snapshot: DataFrame, as_published: bool = False) -> DataFrame:
+    """Account signals + plan_tier of the snapshot row at the anchor month; as_published
+    takes the published usage join (see anchor_window_rows_as_published)."""
+    extra = ("anchor_tier",)
+    signals = (change_signals_account_as_published(tables, snapshot, extra) if as_published
+               else change_signals_account(anchor_window_rows(tables, snapshot, with_tier=True), extra))
+    return signals.withColumnRenamed("anchor_tier", "plan_tier")
 
 
 def change_signals_summary_by_tier(with_tier: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+
+from sublens.functions.columns import round6
 from sublens.operators import drivers, quality, reasons, signals
 from sublens.operators.snapshot import account_mrr_month
 from sublens.plans.registry import query
@@ -12,6 +15,17 @@ def _snap(t: Tables):
     return account_mrr_month(t.subscriptions)
 
 
+# Averages of doubles: their last bits depend on the order of summation, so the registered
+# queries round them to be comparable with the oracle; the operators return them unrounded.
+TICKET_AVERAGES = ("avg_resolution_hours", "avg_first_response_minutes", "avg_satisfaction_score")
+DELTA_AVERAGES = ("avg_usage_delta", "avg_usage_delta_pct", "avg_features_delta", "avg_share_active_delta",
+                  "avg_tickets_delta", "avg_tickets_delta_pct", "avg_high_priority_delta", "avg_escalations_delta")
+
+
+def _comparable(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
+    return df.withColumns({c: round6(c) for c in columns})
+
+
 def _support(t: Tables):
     return drivers.support_account_month(t.support_tickets)
 
@@ -98,7 +112,7 @@ def q_driver_rows(t: Tables):
 
 @query("churn_driver_table_3m")
 def q_driver_table(t: Tables):
-    return drivers.churn_driver_table(drivers.churn_driver_rows(t, _snap(t)))
+    return _comparable(drivers.churn_driver_table(drivers.churn_driver_rows(t, _snap(t))), TICKET_AVERAGES)
 
 
 @query("qc_driver_sizes")
@@ -129,7 +143,13 @@ def q_anchor_window_rows_published(t: Tables):
 
 @query("anchor_window_averages")
 def q_anchor_window_avgs(t: Tables):
-    return signals.anchor_window_averages(signals.anchor_window_rows(t, _snap(t)))
+    return _comparable(signals.anchor_window_averages(signals.anchor_window_rows(t, _snap(t))), TICKET_AVERAGES)
+
+
+@query("anchor_window_averages_as_published")
+def q_anchor_window_avgs_published(t: Tables):
+    rows = signals.anchor_window_rows_as_published(t, _snap(t))
+    return _comparable(signals.anchor_window_averages_as_published(rows), TICKET_AVERAGES)
 
 
 def _signals(t: Tables):
@@ -168,12 +188,12 @@ def q_signals_coverage(t: Tables):
 
 @query("change_signals_3m_summary")
 def q_signals_summary(t: Tables):
-    return signals.change_signals_summary(_signals(t))
+    return _comparable(signals.change_signals_summary(_signals(t)), DELTA_AVERAGES)
 
 
 @query("change_signals_3m_summary_as_published")
 def q_signals_summary_published(t: Tables):
-    return signals.change_signals_summary(signals.change_signals_account_as_published(t, _snap(t)))
+    return _comparable(signals.change_signals_summary(signals.change_signals_account_as_published(t, _snap(t))), DELTA_AVERAGES)
 
 
 @query("change_signals_with_tier")
@@ -183,7 +203,23 @@ def q_signals_tier(t: Tables):
 
 @query("change_signals_3m_summary_by_tier")
 def q_signals_by_tier(t: Tables):
-    return signals.change_signals_summary_by_tier(signals.change_signals_with_tier(t, _snap(t)))
+    return _comparable(signals.change_signals_summary_by_tier(signals.change_signals_with_tier(t, _snap(t))), DELTA_AVERAGES)
+
+
+@query("change_signals_with_tier_as_published")
+def q_signals_tier_published(t: Tables):
+    return signals.change_signals_with_tier(t, _snap(t), as_published=True)
+
+
+@query("change_signals_3m_summary_by_tier_as_published")
+def q_signals_by_tier_published(t: Tables):
+    with_tier = signals.change_signals_with_tier(t, _snap(t), as_published=True)
+    return _comparable(signals.change_signals_summary_by_tier(with_tier), DELTA_AVERAGES)
+
+
+@query("qc_tier_counts_as_published")
+def q_tier_counts_published(t: Tables):
+    return signals.tier_counts(signals.change_signals_with_tier(t, _snap(t), as_published=True))
 
 
 @query("qc_tier_counts")
@@ -208,7 +244,8 @@ def q_reason_by_tier(t: Tables):
 
 @query("qc_reason_share_sum")
 def q_reason_share(t: Tables):
-    return reasons.reason_share_sum(reasons.reason_code_by_tier(reasons.churn_reason_rows(_snap(t), t.churn_events)))
+    by_tier = reasons.reason_code_by_tier(reasons.churn_reason_rows(_snap(t), t.churn_events))
+    return _comparable(reasons.reason_share_sum(by_tier), ("share_sum",))
 
 
 @query("qc_reason_missing")

@@ -45,8 +45,8 @@ def test_change_signals_own_month(make_tables):
     (r,) = signals.change_signals_account(signals.anchor_window_rows(t, snap)).collect()
     assert (r.anchor_type, r.anchor_month) == ("churned", d("2024-08-01"))
     # recent = May, Jun, Jul ; prior = Feb, Mar, Apr
-    assert r.usage_recent_3m == round(10 / 3, 6) and r.usage_prior_3m == round(1 / 3, 6)
-    assert r.tickets_recent_3m == round(1 / 3, 6) and r.tickets_prior_3m == round(1 / 3, 6)
+    assert r.usage_recent_3m == 10 / 3 and r.usage_prior_3m == 1 / 3
+    assert r.tickets_recent_3m == 1 / 3 and r.tickets_prior_3m == 1 / 3
     assert r.tickets_delta == 0.0 and r.tickets_delta_pct == 0.0
 
 
@@ -56,10 +56,16 @@ def test_change_signals_as_published_differs(make_tables):
     (pub,) = signals.change_signals_account_as_published(t, snap).collect()
     # A ticketed month joins all 3 usage months of the account: weight 3, usage 11 each.
     # recent: Jun (ticket, weight 3, usage 11) + May + Jul (weight 1, usage 0) -> 11 / 5
-    assert pub.usage_recent_3m == round(11 / 5, 6)
-    assert pub.tickets_recent_3m == round(3 / 5, 6)
+    assert pub.usage_recent_3m == 11 / 5
+    assert pub.tickets_recent_3m == 3 / 5
     (own,) = signals.change_signals_account(signals.anchor_window_rows(t, snap)).collect()
     assert own.usage_recent_3m != pub.usage_recent_3m
+    (tier,) = signals.change_signals_with_tier(t, snap, as_published=True).collect()
+    assert (tier.plan_tier, tier.usage_recent_3m) == ("Basic", pub.usage_recent_3m)
+    rows = signals.anchor_window_rows_as_published(t, snap)
+    averages = {r.window_label: r for r in signals.anchor_window_averages_as_published(rows).collect()}
+    assert averages["recent_3m"].avg_total_usage_count == pub.usage_recent_3m
+    assert averages["recent_3m"].avg_resolution_hours == 5.0  # over the months that have tickets
 
 
 def test_retained_anchor_is_last_month_and_short_history_vanishes(make_tables):

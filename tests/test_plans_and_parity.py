@@ -129,10 +129,13 @@ def test_inputs_are_spread_only_on_request(spark):
 
 
 def test_rounding_has_no_cap(spark):
-    from sublens.functions.columns import avg_num, round6
+    from sublens.functions.columns import average, round6
     df = spark.createDataFrame([(1e13,), (1e13,)], "v double")
     assert df.select(round6("v").alias("r")).first().r == 1e13
-    assert df.agg(avg_num("v").alias("r")).first().r == 1e13
+    assert df.agg(average("v").alias("r")).first().r == 1e13
+    small = spark.createDataFrame([(1,), (0,), (0,)], "v int")
+    assert small.agg(average("v").alias("r")).first().r == 1 / 3  # nor any rounding in an average
+    assert small.limit(0).agg(average("v").alias("r")).first().r is None
 
 
 def test_session_keeps_what_it_is_not_told(spark):
