@@ -7,7 +7,6 @@ or month x tier), so nothing is collected to the driver.
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sublens.operators import drivers, lenses, reasons, signals, snapshot
@@ -21,7 +20,6 @@ WATERFALL_STEPS = (("Starting", "starting_mrr", 1), ("New", "new_mrr", 1), ("Exp
 TREND_SERIES = (("Logo churn rate", "logo_churn_rate"),
                 ("Net revenue retention (NRR)", "net_revenue_retention"),
                 ("Activity churn rate", "activity_churn_rate"))
-HIGHLIGHT_MONTH = "1998-09-01"
 
 
 def register_all(spark: SparkSession, tables: Tables, materialize: bool = False) -> dict[str, DataFrame]:
@@ -87,12 +85,13 @@ def _month_ordered(df: DataFrame, as_timestamp: bool) -> DataFrame:
     return _with_month_type(df, as_timestamp).orderBy(F.col("month_start").asc_nulls_last())
 
 
-def waterfall_for_month(waterfall: DataFrame, month: str = HIGHLIGHT_MONTH) -> DataFrame:
-    """The waterfall row of one month; ValueError when the month has no row."""
-    row = waterfall.filter(F.col("month_start") == F.lit(month).cast("date"))
-    if row.limit(1).count() == 0:
-        raise ValueError(f"month {month} not found in revenue waterfall")
-    return row
+def waterfall_for_month(waterfall: DataFrame, month: str) -> DataFrame:
+    """The waterfall row of one month.  When the month has no row the query fails as it
+    runs; nothing runs while it is built."""
+    row = F.struct(*[F.col(c) for c in waterfall.columns])
+    found = waterfall.agg(F.max(F.when(F.col("month_start") == F.lit(month).cast("date"), row)).alias("found"))
+    missing = F.raise_error(F.lit(f"month {month} not found in revenue waterfall"))
+    return found.select(F.coalesce("found", missing).alias("found")).select("found.*")
 
 
 def waterfall_long(waterfall: DataFrame) -> DataFrame:
@@ -118,26 +117,32 @@ def waterfall_bases(waterfall: DataFrame, start_at: str = "starting") -> DataFra
     return long.withColumn("base", base)
 
 
-def mix_pivot(mix: DataFrame, tiers: list[str] | None = None) -> DataFrame:
+def _listed(mix: DataFrame, tiers: list[str]) -> DataFrame:
+    """Rows with a tier; a tier that isn't in `tiers` fails the query as it runs."""
+    tier = F.col("plan_tier")
+    unlisted = F.raise_error(F.concat(F.lit("plan tier not listed: "), tier))
+    return mix.filter(tier.isNotNull()).withColumn("plan_tier", F.when(tier.isin(tiers), tier).otherwise(unlisted))
+
+
+def mix_pivot(mix: DataFrame, tiers: list[str]) -> DataFrame:
     """Month x tier total MRR, missing cells 0, month order; NULL tier left out."""
-    named = mix.filter(F.col("plan_tier").isNotNull())
-    grouped = named.groupBy("month_start")
-    pivoted = (grouped.pivot("plan_tier", sorted(tiers)) if tiers else grouped.pivot("plan_tier")).agg(
-        F.sum("total_mrr").cast("decimal(18,2)"))
-    cols = [c for c in pivoted.columns if c != "month_start"]
-    return (pivoted.select("month_start", *[F.coalesce(F.col(f"`{c}`"), F.lit(0).cast("decimal(18,2)")).alias(c)
-                                            for c in sorted(cols)])
-            .orderBy("month_start"))
-
-
-def mix_stack_offsets(mix: DataFrame, tiers: list[str] | None = None) -> DataFrame:
-    """(month_start, plan_tier, total_mrr, bottom): bottom = sum of the tiers stacked below."""
-    wide = mix_pivot(mix, tiers)
-    cols = [c for c in wide.columns if c != "month_start"]
-    long = wide.unpivot("month_start", cols, "plan_tier", "total_mrr")
+    tiers = sorted(tiers)
+    zero = F.lit(0).cast("decimal(18,2)")
+    wide = _listed(mix, tiers).groupBy("month_start").pivot("plan_tier", tiers).agg(F.sum("total_mrr").cast("decimal(18,2)"))
+    return wide.select("month_start", *[F.coalesce(F.col(f"`{t}`"), zero).alias(t) for t in tiers]).orderBy("month_start")
+
+
+def mix_stack_offsets(mix: DataFrame, tiers: list[str]) -> DataFrame:
+    """(month_start, plan_tier, total_mrr, bottom): bottom = sum of the tiers stacked below.
+
+    Each month's cells are one map with at most a cell for every tier, laid on the tier list."""
+    zero = F.lit(0).cast("decimal(18,2)")
+    cell = F.struct("plan_tier", F.col("total_mrr").cast("decimal(18,2)"))
+    months = _listed(mix, tiers).groupBy("month_start").agg(F.map_from_entries(F.collect_list(cell)).alias("cells"))
+    long = months.select("month_start", "cells", F.explode(F.array(*[F.lit(t) for t in sorted(tiers)])).alias("plan_tier"))
+    long = long.select("month_start", "plan_tier", F.coalesce(F.col("cells")[F.col("plan_tier")], zero).alias("total_mrr"))
     below = Window.partitionBy("month_start").orderBy("plan_tier").rowsBetween(Window.unboundedPreceding, -1)
-    return long.withColumn("bottom", F.coalesce(F.sum("total_mrr").over(below),
-                                                F.lit(0)).cast("decimal(18,2)"))
+    return long.withColumn("bottom", F.coalesce(F.sum("total_mrr").over(below), zero).cast("decimal(18,2)"))
 
 
 def scoreboard_trend_long(trends: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """P1-P15 profiling and integrity checks, plus the generic grain / range checks.
 
-Every check is an aggregate with a map-side partial step, so it reads each table once in
-parallel and returns a handful of rows.  Orphan checks are left-anti joins (the plan of a
+Every check is an aggregate with a map-side partial step and returns a handful of rows;
+`validate_contracts` reads a table once for its keys and NULLs and once per foreign key.  Orphan checks are left-anti joins (the plan of a
 LEFT JOIN + IS NULL keeps the outer join and a filter).
 """
 
@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from sublens.functions.columns import count_if
 from sublens.sources.schemas import CONTRACTS, Contract
 from sublens.sources.tables import Tables
 
@@ -44,11 +45,6 @@ def grain_check(df: DataFrame, *keys: str) -> DataFrame:
     return duplicate_key_values(df, *keys).withColumnRenamed("dupes", "bad_rows")
 
 
-def orphans(child: DataFrame, fk: str, parent: DataFrame, pk: str) -> DataFrame:
-    """Child rows whose key finds no parent (a NULL key counts as an orphan)."""
-    return child.join(parent.select(F.col(pk).alias("__pk")), F.col(fk) == F.col("__pk"), "left_anti")
-
-
 def row_counts(t: Tables) -> DataFrame:
     """(table_name, row_count) for the five tables."""
     return _union([df.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("table_name"), "row_count")
@@ -116,29 +112,25 @@ def orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: s
     return missing.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias(label))
 
 
-def _orphan_count(child: DataFrame, fk: str, parent: DataFrame, pk: str, label: str) -> DataFrame:
-    return orphan_count(child, fk, parent, pk, label)
-
-
 def orphans_subscriptions(t: Tables) -> DataFrame:
     """P10."""
-    return _orphan_count(t.subscriptions, "account_id", t.accounts, "account_id", "subscriptions_missing_account")
+    return orphan_count(t.subscriptions, "account_id", t.accounts, "account_id", "subscriptions_missing_account")
 
 
 def orphans_usage(t: Tables) -> DataFrame:
     """P11."""
-    return _orphan_count(t.feature_usage_raw, "subscription_id", t.subscriptions, "subscription_id",
+    return orphan_count(t.feature_usage_raw, "subscription_id", t.subscriptions, "subscription_id",
                          "usage_missing_subscription")
 
 
 def orphans_churn_events(t: Tables) -> DataFrame:
     """P12."""
-    return _orphan_count(t.churn_events, "account_id", t.accounts, "account_id", "churn_missing_account")
+    return orphan_count(t.churn_events, "account_id", t.accounts, "account_id", "churn_missing_account")
 
 
 def orphans_support(t: Tables) -> DataFrame:
     """P13."""
-    return _orphan_count(t.support_tickets, "account_id", t.accounts, "account_id", "support_missing_account")
+    return orphan_count(t.support_tickets, "account_id", t.accounts, "account_id", "support_missing_account")
 
 
 def usage_duplicates(t: Tables) -> DataFrame:
@@ -149,21 +141,22 @@ def usage_duplicates(t: Tables) -> DataFrame:
 
 
 def _contract_checks(t: Tables, c: Contract) -> list[DataFrame]:
-    df = getattr(t, c.table)
-    label = lambda kind: [F.lit(c.table).alias("table_name"), F.lit(kind).alias("constraint_name")]
-    out = [
-        duplicate_key_values(df.filter(F.col(c.primary_key).isNotNull()), c.primary_key)
-        .select(*label(f"primary_key:{c.primary_key}:duplicates"), F.col("dupes").alias("violations")),
-        df.filter(F.col(c.primary_key).isNull()).agg(F.count(F.lit(1)).alias("violations"))
-        .select(*label(f"primary_key:{c.primary_key}:nulls"), "violations"),
-    ]
-    for col in c.not_null:
-        out.append(df.filter(F.col(col).isNull()).agg(F.count(F.lit(1)).alias("violations"))
-                   .select(*label(f"not_null:{col}"), "violations"))
+    df, pk = getattr(t, c.table), F.col(c.primary_key)
+    # One pass per table: rows and NULLs per key value give every count but the foreign keys'.
+    per_key = df.groupBy(pk.alias("key")).agg(
+        F.count(F.lit(1)).alias("n"), *[count_if(F.col(col).isNull()).alias(f"missing_{col}") for col in c.not_null])
+    counts = {f"primary_key:{c.primary_key}:duplicates": F.when(F.col("key").isNotNull() & (F.col("n") > 1), 1),
+              f"primary_key:{c.primary_key}:nulls": F.when(F.col("key").isNull(), F.col("n")),
+              **{f"not_null:{col}": F.col(f"missing_{col}") for col in c.not_null}}
+    found = F.array(*[F.struct(F.lit(name).alias("constraint_name"),
+                               F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("violations"))
+                      for name, n in counts.items()])
+    out = [per_key.agg(F.explode(found).alias("c")).select(F.lit(c.table).alias("table_name"), "c.*")]
     for col, parent, pcol in c.foreign_keys:
         # A NULL foreign key satisfies the constraint (SQL semantics); only dangling values violate it.
-        out.append(orphan_count(df.filter(F.col(col).isNotNull()), col, getattr(t, parent), pcol, "violations")
-                   .select(*label(f"foreign_key:{col}->{parent}.{pcol}"), "violations"))
+        dangling = orphan_count(df.filter(F.col(col).isNotNull()), col, getattr(t, parent), pcol, "violations")
+        out.append(dangling.select(F.lit(c.table).alias("table_name"),
+                                   F.lit(f"foreign_key:{col}->{parent}.{pcol}").alias("constraint_name"), "violations"))
     return out
 
 

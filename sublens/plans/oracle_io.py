@@ -21,11 +21,24 @@ final("reload_idempotent", "SELECT * FROM row_counts", "row_counts")
 final("reload_streaming", "SELECT * FROM row_counts", "row_counts")
 final("registered_views", "SELECT * FROM scoreboard_v", "scoreboard_v")
 
+# What each published view holds a row for.
+VIEWS = (("v_account_mrr_month", "snap"), ("v_logo_churn_month", "cal"), ("v_revenue_waterfall_month", "cal"),
+         ("v_activity_churn_month", "cal"), ("v_churn_scoreboard_month", "cal"), ("v_mix_shift_by_plan_month", "mix_v"),
+         ("v_support_account_month", "sup"), ("v_usage_account_month", "usg"), ("v_account_month_cohorts", "cohort"),
+         ("v_churn_driver_table_3m", "dtable"), ("v_change_signals_3m_account", "sig"),
+         ("v_change_signals_3m_summary", "(SELECT DISTINCT anchor_type FROM sig)"),
+         ("v_change_signals_3m_summary_by_tier", "(SELECT DISTINCT anchor_type, plan_tier FROM sig_tier)"),
+         ("v_reason_code_by_tier", "rbt"))
+final("registered_view_counts", "\nUNION ALL\n".join(
+    f"SELECT '{v}' AS view_name, count(*) AS row_count FROM {of}" for v, of in VIEWS + tuple(zip(TABLES, TABLES))),
+    "snap", "cal", "mix_v", "sup", "usg", "cohort", "dtable", "sig", "sig_tier", "rbt", *TABLES)
+
 fragment("trends", """
 SELECT month_start, logo_churn_rate, net_revenue_retention, activity_churn_rate FROM scoreboard_v""",
          "scoreboard_v")
 final("extract_scoreboard_trends", "SELECT * FROM trends ORDER BY month_start", "trends")
 final("freeze_extract", "SELECT * FROM trends ORDER BY month_start", "trends")
+final("extract_scoreboard_trends_timestamp", "SELECT * REPLACE (CAST(month_start AS TIMESTAMP) AS month_start) FROM trends", "trends")
 final("extract_waterfall_inputs", """
 SELECT month_start, starting_mrr, new_mrr, expansion_mrr, contraction_mrr, churned_mrr, ending_mrr
 FROM waterfall_v ORDER BY month_start""", "waterfall_v")
@@ -129,4 +142,5 @@ for c in CONTRACTS:
     for col, parent, pcol in c.foreign_keys:
         _checks.append(f"SELECT '{t}', 'foreign_key:{col}->{parent}.{pcol}', count(*) FROM {t} x "
                        f"WHERE x.{col} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{pcol} = x.{col})")
-final("validate_contracts", "\nUNION ALL\n".join(_checks), *TABLES)
+for key in ("validate_contracts", "validate_contracts_landed"):
+    final(key, "\nUNION ALL\n".join(_checks), *TABLES)

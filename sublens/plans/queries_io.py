@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sublens.operators import extracts, lenses, quality, snapshot
 from sublens.plans.registry import query
 from sublens.session import scratch_path
 from sublens.sources import csv_io
+from sublens.sources.fixture import PLAN_TIERS
 from sublens.sources.tables import Tables
 
+HIGHLIGHT_MONTH = "1998-09-01"  # a month of the test data's calendar
+
 
 def _loader(table: str, drop: tuple[str, ...] = ()):
     def fn(t: Tables, spark: SparkSession):
@@ -47,6 +52,16 @@ def q_reload_streaming(t: Tables, spark: SparkSession):
     return quality.row_counts(loaded)
 
 
+@query("validate_contracts_landed")
+def q_validate_landed(t: Tables, spark: SparkSession):
+    """Contracts of the tables that the streaming load landed, generated row_id included."""
+    from sublens.streaming.landing import load_all_incrementally, read_landed
+    csv_folder, warehouse = scratch_path(spark, "export"), scratch_path(spark, "landing")
+    csv_io.export_tables(t, csv_folder)
+    paths = load_all_incrementally(spark, csv_folder, warehouse)
+    return quality.validate_contracts(Tables(**{name: read_landed(spark, name, path) for name, path in paths.items()}))
+
+
 @query("registered_views")
 def q_registered(t: Tables, spark: SparkSession):
     """Scoreboard read back through the view name published by register_all."""
@@ -54,11 +69,25 @@ def q_registered(t: Tables, spark: SparkSession):
     return spark.table("v_churn_scoreboard_month")
 
 
+@query("registered_view_counts")
+def q_registered_counts(t: Tables, spark: SparkSession):
+    """Row count of every published view and table, each read back by its name."""
+    names = extracts.register_all(spark, t, materialize=True)
+    counts = [spark.table(n).agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(n).alias("view_name"), "row_count")
+              for n in names]
+    return reduce(DataFrame.unionByName, counts)
+
+
 @query("extract_scoreboard_trends")
 def q_extract_trends(t: Tables):
     return extracts.scoreboard_trends(lenses.churn_scoreboard_month(t))
 
 
+@query("extract_scoreboard_trends_timestamp")
+def q_extract_trends_timestamp(t: Tables):
+    return extracts.scoreboard_trends(lenses.churn_scoreboard_month(t), as_timestamp=True)
+
+
 @query("extract_waterfall_inputs")
 def q_extract_waterfall(t: Tables):
     return extracts.waterfall_inputs(lenses.revenue_waterfall_month(t))
@@ -76,7 +105,7 @@ def q_freeze(t: Tables, spark: SparkSession):
 
 @query("waterfall_for_month")
 def q_waterfall_month(t: Tables):
-    return extracts.waterfall_for_month(extracts.waterfall_inputs(lenses.revenue_waterfall_month(t)))
+    return extracts.waterfall_for_month(extracts.waterfall_inputs(lenses.revenue_waterfall_month(t)), HIGHLIGHT_MONTH)
 
 
 @query("waterfall_long")
@@ -100,12 +129,12 @@ def _mix(t: Tables):
 
 @query("mix_pivot")
 def q_mix_pivot(t: Tables):
-    return extracts.mix_pivot(_mix(t))
+    return extracts.mix_pivot(_mix(t), list(PLAN_TIERS))
 
 
 @query("mix_stack_offsets")
 def q_mix_offsets(t: Tables):
-    return extracts.mix_stack_offsets(_mix(t))
+    return extracts.mix_stack_offsets(_mix(t), list(PLAN_TIERS))
 
 
 @query("scoreboard_trend_long")
