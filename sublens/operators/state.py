@@ -15,7 +15,7 @@ row for every account-month; they reuse the same sparse state and fill the gaps
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from sublens.functions.columns import month_of
 from sublens.operators.calendar import bound_scalars
@@ -108,6 +108,19 @@ def account_month_state(tables: Tables, snapshot: DataFrame | None = None) -> Da
                     F.coalesce("prev_mrr", zero_money()).alias("prev_mrr")))
 
 
+def calendar_snapshot(tables: Tables, snapshot: DataFrame) -> DataFrame:
+    """The snapshot laid on every calendar month of every account: 0 MRR where it has no row,
+    plan_tier of the last month paid so far.  Cohorts, anchors, signals and reasons built on
+    it take the calendar churn basis (an account that disappears churns); built on the
+    snapshot itself they take the published observed one."""
+    paid = F.when(F.col("mrr_amount") > 0, F.struct("month_start", "plan_tier"))
+    so_far = Window.partitionBy("account_id").orderBy("month_start")
+    cells = snapshot.select("account_id", "month_start", "plan_tier", "mrr_amount")
+    return (account_month_spine(tables.subscriptions).join(cells, ["account_id", "month_start"], "left")
+            .select("month_start", "account_id", F.max(paid).over(so_far)["plan_tier"].alias("plan_tier"),
+                    F.coalesce("mrr_amount", zero_money()).alias("mrr_amount")))
+
+
 def _flag(c) -> F.Column:
     return F.when(c > 0, F.lit(1)).otherwise(F.lit(0))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from sublens.functions.columns import round6
-from sublens.operators import drivers, quality, reasons, signals
+from sublens.operators import drivers, quality, reasons, signals, state
 from sublens.operators.snapshot import account_mrr_month
 from sublens.plans.registry import query
 from sublens.sources.tables import Tables
@@ -251,3 +251,34 @@ def q_reason_share(t: Tables):
 @query("qc_reason_missing")
 def q_reason_missing(t: Tables):
     return reasons.reason_missing(reasons.churn_reason_rows(_snap(t), t.churn_events))
+
+
+# The same over the calendar churn basis.
+def _calendar(t: Tables):
+    return state.calendar_snapshot(t, _snap(t))
+
+
+@query("account_month_cohorts_calendar")
+def q_cohorts_calendar(t: Tables):
+    return drivers.account_month_cohorts(_calendar(t))
+
+
+@query("churn_anchors_calendar")
+def q_anchors_calendar(t: Tables):
+    return signals.churn_anchors(_calendar(t))
+
+
+@query("change_signals_with_tier_calendar")
+def q_signals_tier_calendar(t: Tables):
+    return signals.change_signals_with_tier(t, _calendar(t))
+
+
+@query("change_signals_3m_summary_by_tier_calendar")
+def q_signals_by_tier_calendar(t: Tables):
+    with_tier = signals.change_signals_with_tier(t, _calendar(t))
+    return _comparable(signals.change_signals_summary_by_tier(with_tier), DELTA_AVERAGES)
+
+
+@query("reason_code_by_tier_calendar")
+def q_reason_by_tier_calendar(t: Tables):
+    return reasons.reason_code_by_tier(reasons.churn_reason_rows(_calendar(t), t.churn_events))

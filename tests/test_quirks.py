@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from conftest import d, money, sub, ticket, usage
+from conftest import churn, d, money, sub, ticket, usage
 
-from sublens.operators import drivers, extracts, lenses, signals, snapshot, state
+from sublens.operators import drivers, extracts, lenses, reasons, signals, snapshot, state
 
 
 def test_q2_observed_and_calendar_churn_bases_differ(make_tables):
@@ -14,6 +14,12 @@ def test_q2_observed_and_calendar_churn_bases_differ(make_tables):
     observed = drivers.first_churn_month(snap).collect()
     calendar = drivers.first_churn_month(snap, basis="calendar", tables=t).collect()
     assert observed == []
+    whole = state.calendar_snapshot(t, snap)
+    assert [r.churn_month for r in drivers.first_churn_month(whole).collect()] == [d("2024-03-01")]
+    (anchor,) = signals.churn_anchors(whole).collect()
+    assert (anchor.anchor_type, anchor.anchor_month) == ("churned", d("2024-03-01"))
+    (row,) = reasons.churn_reason_rows(whole, t.churn_events).collect()
+    assert (row.churn_month, row.plan_tier) == (d("2024-03-01"), "Basic")  # the tier last paid
     assert [(r.account_id, r.churn_month) for r in calendar] == [("A1", d("2024-03-01"))]
 
 
@@ -71,3 +77,23 @@ def test_q7_p1_is_not_high_priority(make_tables):
     t = make_tables([], tickets=[ticket("T1", "A1", "2024-01-05", priority="P1")])
     (r,) = drivers.support_account_month(t.support_tickets).collect()
     assert r.high_priority_tickets == 0
+
+
+def test_q6_reason_is_the_first_event_even_long_before_the_churn(make_tables):
+    subs = [sub("S1", "A1", "2024-01-01", None, 100), sub("S2", "A1", "2024-06-01", None, 0)]
+    t = make_tables(subs, churn_rows=[churn("C1", "A1", "2023-05-01", "budget"), churn("C2", "A1", "2024-06-03", "support")])
+    (r,) = reasons.churn_reason_rows(snapshot.account_mrr_month(t.subscriptions), t.churn_events).collect()
+    assert (r.churn_month, r.reason_code) == (d("2024-06-01"), "budget")
+
+
+def test_q10_q11_windows_average_over_observed_months_and_coverage_agrees(make_tables):
+    # A1 is observed in Apr and May only (recent window), A2 from January on; both anchor in June.
+    subs = [sub("S1", "A1", "2024-04-01", None, 100), sub("S2", "A2", "2024-01-01", None, 100),
+            sub("S9", "A9", "2024-06-01", "2024-06-30", 100)]  # stretches the calendar to June
+    t = make_tables(subs, [usage(1, "S1", "2024-04-03", 3)])
+    snap = snapshot.account_mrr_month(t.subscriptions)
+    sig = signals.change_signals_account(signals.anchor_window_rows(t, snap))
+    got = {r.account_id: r for r in sig.collect()}
+    assert got["A1"].usage_recent_3m == 1.5 and got["A1"].usage_prior_3m is None  # two months, not three
+    (coverage,) = signals.signals_coverage(sig).collect()
+    assert coverage.accounts_with_usage_both_windows == coverage.accounts_with_tickets_both_windows == 1
