@@ -10,7 +10,8 @@ The winner per (month, account) is the subscription with the latest start_date,
 the higher MRR (NULL taken as 0), then the higher subscription_id.  It is computed as a
 MAX over a struct ordered by exactly those keys: an aggregate with a map-side partial
 step, so a hot account is reduced to one row per month inside each task before the
-shuffle instead of sorting all of its rows in one window partition.
+shuffle and no task holds all of its rows.  Spark sorts for this aggregate (a struct with
+strings can't be hash aggregated), inside each task and spilling where needed.
 """
 
 from __future__ import annotations
