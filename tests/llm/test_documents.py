@@ -198,6 +198,18 @@ def test_neighbours(spark):
     assert few.count() == 3 and op8_neighbours.nearest_neighbours(df.limit(0), F.col("vec_id") == 0).count() == 0
 
 
+def test_search_expands_its_whole_beam(spark):
+    order = [r.node for r in spark.range(80).withColumnRenamed("id", "node").orderBy(F.xxhash64("node"), "node").collect()]
+    doors, decoys, target = order[:40], order[40:79], order[79]  # a search enters by the first 40
+    at = {n: 10.0 + i for i, n in enumerate(doors)} | {n: 5.0 + i / 100 for i, n in enumerate(decoys)} | {target: 1.0}
+    nodes = op8_neighbours._packed(spark.createDataFrame([(n, [d, 0.0]) for n, d in at.items()], "node bigint, vector array<double>")).localCheckpoint()
+    ways = [*zip(doors, decoys), (doors[39], target)]  # only the furthest door leads to the target
+    edges = spark.createDataFrame([(u, v, at[u] - at[v]) for u, v in ways], op8_neighbours.EDGE)
+    asked = spark.createDataFrame([(-1, np.zeros(2).tobytes(), None)], "query bigint, asked binary, node bigint")
+    found = op8_neighbours.graph_search(asked, nodes, edges, beam=40, entries=40).orderBy("d").first()
+    assert (found.node, found.d) == (target, 1.0)
+
+
 def test_language(spark, docs):
     rng = random.Random(6)
     rows = [(i, prose(rng, 30) if i % 2 else prose(rng, 30).translate(str.maketrans("abcde", "vwxyz")), "aa" if i % 2 else "zz") for i in range(200)]
