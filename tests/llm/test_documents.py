@@ -210,6 +210,16 @@ def test_search_expands_its_whole_beam(spark):
     assert (found.node, found.d) == (target, 1.0)
 
 
+def test_search_goes_on_until_its_neighbours_are_found(spark):
+    x = np.random.default_rng(5).normal(size=(4000, 16))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in op8_neighbours.nearest_neighbours(df, F.col("vec_id") % 100 == 0, degree=6, beam=8).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    want = {q: set(np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist()) for q in range(0, 4000, 100)}
+    assert sum(len(got[q] & want[q]) for q in want) >= 0.98 * 400
+
+
 def test_language(spark, docs):
     rng = random.Random(6)
     rows = [(i, prose(rng, 30) if i % 2 else prose(rng, 30).translate(str.maketrans("abcde", "vwxyz")), "aa" if i % 2 else "zz") for i in range(200)]
