@@ -133,16 +133,8 @@ def _inflate(raw: bytes) -> bytes | None:
     return None
 
 
-def _readable(raw: bytes) -> str | None:
-    try:
-        text = raw.decode()
-    except UnicodeDecodeError:
-        return None
-    return text if all(c.isprintable() or c in "\t\r\n" for c in text) else None
-
-
 def _base64(text: str):
-    """(start, end, decoded text, name of the layer) of runs that hold text or compressed text."""
+    """(start, end, decoded text, name of the layer) of runs; bytes that are not UTF-8 are replaced."""
     for m in BASE64.finditer(text):
         if m.end() - m.start() < LEAST_BASE64:
             continue
@@ -156,9 +148,7 @@ def _base64(text: str):
         name, inner = "base64", _inflate(raw)
         while inner is not None:
             name, raw, inner = name + ">inflate", inner, _inflate(inner)
-        found = raw.decode("utf-8", "replace") if name != "base64" else _readable(raw)
-        if found:
-            yield m.start(), m.end(), found, name
+        yield m.start(), m.end(), raw.decode("utf-8", "replace"), name
 
 
 def scan(text: str, maybe_hex: bool = True) -> tuple[list[tuple[int, str, int]], set[tuple[int, str, int, str]]]:

@@ -157,6 +157,15 @@ def test_secret_layers(spark, docs):
     assert op6_secrets.secrets(docs).count() == docs.count() and op6_secrets.secrets(docs.limit(0)).count() == 0
 
 
+def test_secrets_in_base64_of_any_bytes():
+    secret = b"password=hunter2hunter2"
+    for raw in (b"\xef\xbb\xbf" + secret, "a\u00a0b\u3000c\u200b ".encode() + secret, "caf\u00e9 ".encode("latin-1") + secret, b"\x00\x1b\xff\xfe " + secret + b"\x00\x80"):
+        for hidden in (base64.b64encode(raw).decode(), base64.b64encode(base64.b64encode(raw)).decode()):
+            assert {x[:3] for x in op6_secrets.scan(f"q {hidden} z")[1]} == {(2, "assign", 2 + len(hidden))}
+            assert op6_secrets.redacted(f"q {hidden} z") == "q [secret] z"
+    assert op6_secrets.scan("q " + base64.b64encode(bytes(range(256))).decode())[1] == set()
+
+
 def test_fingerprints(spark, texts):
     rows = list(enumerate([*texts, None]))
     got = {r.doc_id: r for r in op7_fingerprints.edited_and_next(make(spark, rows)).collect()}
