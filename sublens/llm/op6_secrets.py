@@ -1,7 +1,7 @@
 """Operator 6, secret scans with a recursive decoding worklist.
 
-Every text is a layer, and so is what its URL escapes, Unicode escapes, base64 runs and
-compressed contents decode to.  Each layer is scanned with the same patterns and unwrapped in
+Every text is a layer, and so is what its URL escapes, Unicode escapes, base64 runs (also over
+line ends) and compressed contents decode to.  Each layer is scanned with the same patterns and unwrapped in
 turn until nothing new appears; layers already met at the same place are not taken again, so
 cycles end.  Spans found in a layer are mapped back to the characters of the original text.
 """
@@ -11,11 +11,13 @@ from __future__ import annotations
 import base64
 import binascii
 import bz2
+import codecs
 import hashlib
 import lzma
 import re
 import zlib
 from bisect import bisect_right
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +33,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are maximal, so this is every run of 32 or more
 URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|(?:\\u|%u)([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}={0,2}")
-LEAST_BASE64 = 20  # characters with padding: no secret of these kinds is shorter than 14 bytes
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{19,}={0,2}")
+LEAST_BASE64 = 19  # characters without padding: no secret of these kinds is shorter than 14 bytes
+LINE_END = r"[ \t]*+(?:\r\n?|\n|(?:\\r)?\\n)[ \t>]*+"  # of a text, of one in quotes (\n as two characters), of a mail that is quoted
+WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{LINE_END}[A-Za-z0-9+/_-]++)++={{0,2}}")
+LINE = re.compile(rf"(?:^|{LINE_END})([A-Za-z0-9+/_-]++=*+)")
 
 
 def matches(text: str, maybe_hex: bool = True) -> list[tuple[int, str, int]]:
@@ -113,42 +118,111 @@ def _escapes(text: str):
             yield m.start(), m.end(), [(chr(code), m.end() - m.start())]
 
 
-def _inflate(raw: bytes) -> bytes | None:
-    """What compressed bytes hold (each format expands by a bounded factor), None if they aren't."""
+def _opener(raw: bytes):
+    """A decompressor (each format expands by a bounded factor) for what `raw` starts with, or None."""
+    if raw[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if raw[:1] == b"\x78" and len(raw) > 5 and not (raw[0] << 8 | raw[1]) % 31:
+        return zlib.decompressobj()
+    if raw[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    if raw[:6] == b"\xfd7zXZ\x00":
+        return lzma.LZMADecompressor(memlimit=1 << 28)
+    if raw[:4] == b"\x28\xb5\x2f\xfd":
+        import zstandard
+        return zstandard.ZstdDecompressor().decompressobj()
+    return None
+
+
+def _inflate(raw: bytes) -> tuple[bytes, int] | None:
+    """What the streams at the start of `raw` hold together, and their length; None if there are none."""
+    out, rest = [], raw
     try:
-        if raw[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(raw)
-        if raw[:1] == b"\x78" and len(raw) > 5 and not (raw[0] << 8 | raw[1]) % 31:
-            return zlib.decompressobj().decompress(raw)
-        if raw[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(raw)
-        if raw[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor(memlimit=1 << 28).decompress(raw)
-        if raw[:4] == b"\x28\xb5\x2f\xfd":
-            import zstandard
-            return zstandard.ZstdDecompressor().decompressobj().decompress(raw)
+        while rest and (opener := _opener(rest)):
+            out.append(opener.decompress(rest))
+            rest = opener.unused_data
     except Exception as error:  # noqa: BLE001 - damaged data of any format is no layer
         if isinstance(error, MemoryError):
             raise
-    return None
+    return (b"".join(out), len(raw) - len(rest)) if out else None
+
+
+def _readings(text: str):
+    """Lists of pieces (start, end) that may be base64 together, longer ones of the same lines first.
+
+    Of consecutive lines of base64 characters: all of them; from each line that is not as long as
+    the one before, lines of equal length (the first may differ) and a shorter last one; and each
+    long run alone."""
+    if "\n" in text or "\r" in text or "\\n" in text:
+        for m in WRAPPED.finditer(text):
+            if m.end() - m.start() < LEAST_BASE64:
+                continue
+            lines = [x.span(1) for x in LINE.finditer(text[m.start():m.end()])]
+            lines = [(m.start() + a, m.start() + b) for a, b in lines]
+            sizes = [b - a for a, b in lines]
+            yield lines
+            stop = 1  # the end of the stretch of equal lines that holds line i + 1
+            for i in range(len(lines) - 1):
+                if i and sizes[i] == sizes[i - 1]:
+                    continue
+                stop = max(stop, i + 2)
+                while stop < len(lines) and sizes[stop] == sizes[i + 1]:
+                    stop += 1
+                end = stop + (stop < len(lines) and sizes[stop] < sizes[i + 1])
+                if (i, end) != (0, len(lines)):
+                    yield lines[i:end]
+    for m in BASE64.finditer(text):
+        yield [m.span()]
 
 
 def _base64(text: str):
-    """(start, end, decoded text, name of the layer) of runs; bytes that are not UTF-8 are replaced."""
-    for m in BASE64.finditer(text):
-        if m.end() - m.start() < LEAST_BASE64:
+    """(decoded text, pieces (from, start, end) for its lines, name of the layer) of runs, also over
+    line ends; bytes that are not UTF-8 are replaced."""
+    taken: dict[int, tuple[int, bool]] = {}  # start of a line read with those before it: end of that reading, inflated
+    for lines in _readings(text):
+        runs = [text[a:b].rstrip("=") for a, b in lines]
+        run = "".join(runs)
+        run = run[:-1] if len(run) % 4 == 1 else run
+        if len(run) < LEAST_BASE64:
             continue
-        run = m[0].rstrip("=")
-        if len(run) % 4 == 1:
+        end, inflated = taken.get(lines[0][0], (0, False))
+        if inflated and end >= lines[-1][1]:
             continue
         try:
             raw = base64.b64decode(run.replace("-", "+").replace("_", "/") + "=" * (-len(run) % 4))
         except binascii.Error:
             continue
         name, inner = "base64", _inflate(raw)
-        while inner is not None:
-            name, raw, inner = name + ">inflate", inner, _inflate(inner)
-        yield m.start(), m.end(), raw.decode("utf-8", "replace"), name
+        if inner is None and end >= lines[-1][1]:
+            continue
+        firsts = [0, *accumulate(map(len, runs))][:-1]  # of each line, in characters of the run
+        if inner is None:
+            pieces, found, at, n = [], [], 0, 0
+            decoder = codecs.getincrementaldecoder("utf-8")("replace")
+            for k, (a, b) in enumerate(lines):
+                last = k + 1 == len(lines)
+                cut = len(raw) if last else min(len(raw), firsts[k + 1] * 3 // 4)
+                over = bool(firsts[k] % 4) + bool(decoder.getstate()[0])  # characters that may stand over the line end
+                if part := decoder.decode(raw[at:cut], last):
+                    pieces += [(n, lines[k - 1][0], b)] * bool(over) + [(n + over, a, b)] * (len(part) > over)
+                    found.append(part)
+                    n += len(part)
+                at = cut
+            found = "".join(found)
+        else:
+            used = (inner[1] * 4 + 2) // 3
+            lines, firsts = [x for x, first in zip(lines, firsts) if first < used], [first for first in firsts if first < used]
+            raw = inner[0]
+            name = "base64>inflate"
+            while (inner := _inflate(raw)) is not None:
+                name, raw = name + ">inflate", inner[0]
+            found, pieces = raw.decode("utf-8", "replace"), [(0, lines[0][0], lines[-1][1])]
+        if len(lines) > 1:
+            for first, (a, b) in zip(firsts, lines):
+                if first % 4 == 0:
+                    taken[a] = max(taken.get(a, (0, False)), (lines[-1][1], "inflate" in name))
+        if found:
+            yield found, pieces, name
 
 
 def scan(text: str, maybe_hex: bool = True) -> tuple[list[tuple[int, str, int]], set[tuple[int, str, int, str]]]:
@@ -166,9 +240,8 @@ def scan(text: str, maybe_hex: bool = True) -> tuple[list[tuple[int, str, int]],
             children.append((*_replaced(layer, place, hits), "url"))
         if ("\\" in layer or "&#" in layer or "%u" in layer) and (hits := list(_escapes(layer))):
             children.append((*_replaced(layer, place, hits), "unicode"))
-        for a, b, inner, kind in _base64(layer):
-            s, e = place.span(a, b)
-            children.append((inner, Place([(0, s, e, 0)]), kind))
+        for inner, pieces, kind in _base64(layer):
+            children.append((inner, Place([(n, *place.span(a, b), 0) for n, a, b in pieces]), kind))
         for inner, where, kind in children:
             if inner and (key := (inner, *where.span(0, len(inner)))) not in seen:
                 seen.add(key)

@@ -1,7 +1,9 @@
 """Operators 1, 3, 5, 6, 7, 8, 9 and the pipeline against brute force, on small tables."""
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import math
 import random
 import re
@@ -166,6 +168,26 @@ def test_secrets_in_base64_of_any_bytes():
     assert op6_secrets.scan("q " + base64.b64encode(bytes(range(256))).decode())[1] == set()
 
 
+def test_secrets_in_wrapped_base64():
+    secret, rng = b"password=hunter2hunter2", random.Random(9)
+    noise = bytes(rng.choice(b"abc \n") for _ in range(300))
+    for end in ("\n", "\r\n", "\\n", "\n> "):
+        for width in (76, 64, 30):
+            for raw, whole in ((b"x" * (width * 3 // 4 - 9) + secret + noise, False), (gzip.compress(noise + secret + noise), True), (gzip.compress(noise) + gzip.compress(secret), True), (zlib.compress(noise + secret), True)):
+                code = base64.b64encode(raw).decode()
+                lines = [code[i:i + width] for i in range(0, len(code), width)]
+                for before, after in (("q ", " z"), (f"Hello{end}", f"{end}and more"), (f"-----BEGIN KEY-----{end}", f"{end}-----END KEY-----")):
+                    text = before + end.join(lines) + after
+                    stop = len(before + end.join(lines if whole else lines[:2]))
+                    assert {x[:3] for x in op6_secrets.scan(text)[1]} == {(len(before), "assign", stop)}
+                    assert op6_secrets.redacted(text) == before + "[secret]" + text[stop:]
+    short = base64.b64encode(b"token=12345678").decode().rstrip("=")
+    assert len(short) == 19 and op6_secrets.redacted(f"q {short} z") == "q [secret] z"
+    for pack in (gzip.compress, bz2.compress, lzma.compress, zlib.compress):
+        hidden = base64.b64encode(pack(b"nothing here") + pack(secret)).decode()
+        assert op6_secrets.redacted(f"q {hidden} z") == "q [secret] z"
+
+
 def test_fingerprints(spark, texts):
     rows = list(enumerate([*texts, None]))
     got = {r.doc_id: r for r in op7_fingerprints.edited_and_next(make(spark, rows)).collect()}
