@@ -7,7 +7,7 @@ from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sublens.llm import op1_hmm, op2_bpe, op3_chosen_path, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op8_neighbours, op9_language, op10_packing
+from sublens.llm import op1_hmm, op2_bpe, op3_chosen_path, op4_token_counts, op5_quality, op6_secrets, op7_fingerprints, op8_neighbours, op9_language, op10_packing, op11_line_dedup, op12_filter_audit, op13_divergence
 from sublens.llm.common import documents, remainder
 
 
@@ -59,9 +59,22 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_packing.pack(documents(spark, sf_dir), vocabulary_file("word_bpe_49k.json"))
 
 
+def op11_line_dedup_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_line_dedup.digests(documents(spark, sf_dir))
+
+
+def op12_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_divergence.divergence(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_line_dedup_digests": op11_line_dedup.ORACLE_SQL, "op12_filter_interactions": op12_filter_audit.ORACLE_SQL,
+            "op13_source_divergence": op13_divergence.ORACLE_SQL}
