@@ -4,6 +4,9 @@ Columns are mapped by position and the header line is skipped (enforceSchema), t
 schema is the reader schema, and a malformed row fails the load (FAILFAST) instead of
 silently becoming NULLs.  Quotes are doubled (RFC 4180), so free text with commas,
 quotes and line breaks round-trips; surrounding spaces are kept on write.
+
+Files whose values may hold line breaks, and the usage files, whose rows need a key that stays, are
+read by sublens.sources.records in many tasks a file; the others by Spark's own line reader.
 """
 
 from __future__ import annotations
@@ -12,13 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
 from sublens.session import scratch_path
+from sublens.sources import warehouse as versions
+from sublens.sources.records import read_records, text_lines
 from sublens.sources.schemas import FILE_SCHEMAS, TABLE_SCHEMAS, enforce
 from sublens.sources.tables import Tables
 
 READ_OPTIONS = {"header": "true", "mode": "FAILFAST", "escape": '"', "quote": '"', "enforceSchema": "true"}
-# Tables whose text columns may hold line breaks.  Such a file is read by one task; the others are
-# split at line ends.
-MULTI_LINE = frozenset({"churn_events"})
+MULTI_LINE = frozenset({"churn_events"})  # tables whose text columns may hold line breaks
+KEYLESS = "feature_usage_raw"  # its rows get a key when they are loaded
 WRITE_OPTIONS = {"header": "true", "escape": '"', "quote": '"', "ignoreLeadingWhiteSpace": "false",
                  "ignoreTrailingWhiteSpace": "false"}
 
@@ -32,15 +36,17 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def load_table(spark: SparkSession, name: str, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Typed frame of one table from its headed CSV; usage gets a generated row_id, which
-    is drawn anew by each action: `reload` writes it once.
+    """Typed frame of one table from its headed CSV.  A usage row gets a row_id made of its
+    file's number (in the order of the names) and its line: the same in every action and rerun over
+    the same files.
 
     multi_line: whether a quoted value may hold line breaks; by default only for MULTI_LINE.
     Set it for accounts whose names hold line breaks."""
-    df = read_csv(spark, path, FILE_SCHEMAS[name], name in MULTI_LINE if multi_line is None else multi_line)
-    if name == "feature_usage_raw":
-        df = enforce(df.withColumn("row_id", F.monotonically_increasing_id()), TABLE_SCHEMAS[name])
-    return df
+    if name == KEYLESS:
+        return enforce(read_records(text_lines(spark, path), FILE_SCHEMAS[name], READ_OPTIONS, number_from=0), TABLE_SCHEMAS[name])
+    if name in MULTI_LINE if multi_line is None else multi_line:
+        return read_records(text_lines(spark, path), FILE_SCHEMAS[name], READ_OPTIONS)
+    return read_csv(spark, path, FILE_SCHEMAS[name])
 
 
 def export_tables(tables: Tables, folder: str) -> None:
@@ -55,9 +61,10 @@ def load_tables(spark: SparkSession, folder: str) -> Tables:
 
 def reload(spark: SparkSession, csv_folder: str, warehouse: str) -> Tables:
     """Load the CSV files into the Parquet warehouse, replacing what is there, so a rerun
-    never duplicates the keyless usage rows."""
-    load_tables(spark, csv_folder).write_parquet(warehouse, mode="overwrite")
-    return Tables.from_parquet(spark, warehouse)
+    never duplicates the keyless usage rows.  Readers see the version before whole until the load
+    is complete (sublens.sources.warehouse)."""
+    versions.replace(spark, warehouse, load_tables(spark, csv_folder))
+    return versions.current(spark, warehouse)
 
 
 def round_trip(spark: SparkSession, tables: Tables, name: str) -> DataFrame:
