@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from sublens.functions.columns import average, count_if, month_diff, month_of
+from sublens.operators.state import account_month_flows, run_months
 from sublens.sources.tables import Tables
 
 # Priorities that count as high (after lower + trim), cohort labels.
@@ -70,7 +71,8 @@ def _by_account() -> Window:
 
 
 def observed_prev_mrr(snapshot: DataFrame) -> DataFrame:
-    """Snapshot rows + prev_mrr = MRR of the account's previous *observed* month (0 first)."""
+    """Snapshot rows + prev_mrr = MRR of the account's previous *observed* month (0 first).
+    Over the runs of a calendar snapshot, that of the month before the run."""
     w = _by_account().orderBy("month_start")
     return snapshot.withColumn("prev_mrr", F.lag("mrr_amount", 1, 0).over(w).cast("decimal(12,2)"))
 
@@ -92,7 +94,6 @@ def first_churn_month(snapshot: DataFrame, basis: str = "observed", tables: Tabl
     elif basis == "calendar":
         if tables is None:
             raise ValueError("basis='calendar' needs the tables")
-        from sublens.operators.state import account_month_flows
         rows = (account_month_flows(tables, snapshot, with_usage=False)
                 .select("account_id", "month_start",
                         F.coalesce("mrr_amount", F.lit(0).cast("decimal(12,2)")).alias("mrr_amount"),
@@ -104,7 +105,8 @@ def first_churn_month(snapshot: DataFrame, basis: str = "observed", tables: Tabl
 
 
 def cohorts_with_tier(snapshot: DataFrame) -> DataFrame:
-    """D12 with plan_tier kept: snapshot rows up to the churn month, labelled.
+    """D12 with plan_tier kept: snapshot rows up to the churn month, labelled; runs of a calendar
+    snapshot become months here, none after the churn month.
 
     The churn month is a window minimum over the same account partition as the LAG, so
     no join back is needed.  A NULL account never matches a churn month (SQL equality).
@@ -112,8 +114,7 @@ def cohorts_with_tier(snapshot: DataFrame) -> DataFrame:
     lagged = observed_prev_mrr(snapshot)
     whole = _by_account()
     churn = F.min(F.when(_is_churn(F.col("prev_mrr"), F.col("mrr_amount")), F.col("month_start"))).over(whole)
-    rows = (lagged.withColumn("churn_month", F.when(F.col("account_id").isNotNull(), churn))
-            .filter(F.col("churn_month").isNull() | (F.col("month_start") <= F.col("churn_month")))
+    rows = (run_months(lagged.withColumn("churn_month", F.when(F.col("account_id").isNotNull(), churn)), last=F.col("churn_month"))
             .withColumn("months_to_churn", month_diff("churn_month", "month_start")))
     lo, hi = PRE_CHURN_MONTHS
     label = (F.when(F.col("churn_month").isNull(), F.lit(RETAINED))

@@ -12,15 +12,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from sublens.functions.columns import count_if, ratio
-from sublens.operators.drivers import CHURN_MONTH, cohorts_with_tier
+from sublens.operators.drivers import observed_prev_mrr
 
 UNKNOWN_REASON = "unknown"
 
 
 def churned_accounts(snapshot: DataFrame) -> DataFrame:
-    """D37 (+ tier): account_id, churn_month, plan_tier of the churn-month snapshot row."""
-    return (cohorts_with_tier(snapshot).filter(F.col("cohort_label") == CHURN_MONTH)
-            .select("account_id", "churn_month", "plan_tier"))
+    """D37 (+ tier): account_id, churn_month, plan_tier of the churn-month snapshot row.
+
+    A churn month is the first of its run, so runs of a calendar snapshot need no months."""
+    lagged = observed_prev_mrr(snapshot).filter(F.col("account_id").isNotNull())
+    dropped = lagged.filter((F.col("prev_mrr") > 0) & (F.col("mrr_amount") == 0))
+    nth = F.row_number().over(Window.partitionBy("account_id").orderBy("month_start"))
+    return dropped.withColumn("nth", nth).filter("nth = 1").select("account_id", F.col("month_start").alias("churn_month"), "plan_tier")
 
 
 def first_churn_reason(churn_events: DataFrame) -> DataFrame:

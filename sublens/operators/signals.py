@@ -19,6 +19,7 @@ from sublens.functions.columns import average, count_if, month_diff, ratio, shar
 from sublens.operators.drivers import (
     attach_activity, observed_prev_mrr, support_account_month, usage_account_month,
 )
+from sublens.operators.state import run_end, run_months
 from sublens.sources.tables import Tables
 
 # Fixed labels.
@@ -47,33 +48,36 @@ JOINED_SUMS = ("total_usage_count", "distinct_features_used", "active_flag")
 
 def snapshot_with_anchor(snapshot: DataFrame) -> DataFrame:
     """D20 + D21 per snapshot row: churn_month, last_month, anchor_month, anchor_type, and
-    the plan tier at the anchor month (D34), all as window aggregates per account."""
+    the plan tier at the anchor month (D34, if the snapshot has tiers), all as window
+    aggregates per account.  Runs of a calendar snapshot stay runs."""
     lagged = observed_prev_mrr(snapshot)
     whole = Window.partitionBy("account_id")
+    end = run_end(snapshot)
     is_churn = (F.col("prev_mrr") > 0) & (F.col("mrr_amount") == 0)
     # A NULL account never matches first_churn in the published join: it stays retained.
     churn = F.when(F.col("account_id").isNotNull(), F.min(F.when(is_churn, F.col("month_start"))).over(whole))
     out = (lagged.withColumn("churn_month", churn)
-           .withColumn("last_month", F.max("month_start").over(whole))
+           .withColumn("last_month", F.max(end).over(whole))
            .withColumn("anchor_month", F.coalesce("churn_month", "last_month"))
            .withColumn("anchor_type", F.when(F.col("churn_month").isNull(), F.lit(RETAINED)).otherwise(F.lit(CHURNED))))
-    at_anchor = F.col("month_start") == F.col("anchor_month")
-    return out.withColumn("anchor_tier", F.max(F.when(at_anchor, F.col("plan_tier"))).over(whole))
+    out = out.withColumn("at_anchor", F.col("anchor_month").between(F.col("month_start"), end))
+    if "plan_tier" not in snapshot.columns:
+        return out
+    return out.withColumn("anchor_tier", F.max(F.when(F.col("at_anchor"), F.col("plan_tier"))).over(whole))
 
 
 def churn_anchors(snapshot: DataFrame) -> DataFrame:
     """One row per account: account_id, churn_month, last_month, anchor_month, anchor_type."""
     return (snapshot_with_anchor(snapshot)
-            .filter(F.col("month_start") == F.col("anchor_month"))
+            .filter("at_anchor")
             .select("account_id", "churn_month", "last_month", "anchor_month", "anchor_type"))
 
 
 def anchor_windows(snapshot: DataFrame, with_tier: bool = False) -> DataFrame:
     """Observed months 1-6 before the anchor, labelled recent_3m / prior_3m."""
-    rows = (snapshot_with_anchor(snapshot)
-            .filter(F.col("account_id").isNotNull())
+    anchored = snapshot_with_anchor(snapshot).filter(F.col("account_id").isNotNull())
+    rows = (run_months(anchored, F.add_months("anchor_month", -6), F.add_months("anchor_month", -1))
             .withColumn("months_to_anchor", month_diff("anchor_month", "month_start"))
-            .filter((F.col("month_start") <= F.col("anchor_month")) & F.col("months_to_anchor").between(1, 6))
             .withColumn("window_label", F.when(F.col("months_to_anchor") <= 3, F.lit(RECENT)).otherwise(F.lit(PRIOR))))
     cols = ["month_start", "account_id", "anchor_type", "anchor_month", "months_to_anchor", "window_label"]
     return rows.select(*cols, *(["anchor_tier"] if with_tier else []))

@@ -9,8 +9,11 @@ own month and once, shifted, as the "previous month" value of the next month, an
 aggregation on (account_id, month_start) folds them together.  That costs one shuffle of
 rows that already exist, instead of materialising accounts x months and sorting it.
 
-The dense spine and dense state are still offered (C8, C9, C15) for callers that want a
-row for every account-month; they reuse the same sparse state and fill the gaps with 0.
+The dense state (C9, C15) and the calendar churn basis are run-length coded: an account's
+rows and the gaps between them are runs of months (`calendar_runs`), as many as twice its
+rows and one, however long the calendar.  Runs become months only where a result has a row
+for every month (`run_months`), and then only for the months asked for.  The dense spine
+itself is offered too (C8).
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from sublens.functions.columns import month_of
 from sublens.operators.calendar import bound_scalars
-from sublens.operators.snapshot import account_mrr_month
+from sublens.operators.snapshot import account_mrr
 from sublens.sources.tables import Tables
 
 
@@ -65,7 +68,7 @@ def account_month_flows(tables: Tables, snapshot: DataFrame | None = None,
     coalesce.  With paying_rows_only=False the usage-only account-months are kept too.
     """
     subs = tables.subscriptions
-    snap = snapshot if snapshot is not None else account_mrr_month(subs)
+    snap = snapshot if snapshot is not None else account_mrr(subs)
     min_month, max_month = bound_scalars(subs)
     snap = snap.filter(F.col("account_id").isNotNull())
     rows = _own_and_next(snap, "mrr_amount", "cur_mrr", "prv_mrr", max_month)
@@ -98,27 +101,67 @@ def _own_and_next(df: DataFrame, value: str, own: str, nxt: str, max_month) -> D
             .filter(F.col("month_start") <= max_month))
 
 
+def calendar_runs(tables: Tables, cells: DataFrame) -> DataFrame:
+    """The whole calendar of every account in scope as runs of months: columns of `cells` with
+    `month_start` (first month) and `run_end` (last month).
+
+    cells: at most one row per account and calendar month.  Each is a run of one month; every
+    stretch of months around and between them is one run with NULL in the other columns.  A
+    NULL account's cells are left out (an equality with the spine never meets them); its
+    calendar is one empty run.  A mark per account in the month before the calendar makes the
+    gap at its start, and that of an account without cells, a gap like all others.
+    """
+    min_month, max_month = bound_scalars(tables.subscriptions)
+    marks = accounts_in_scope(tables.subscriptions).select("account_id", F.add_months(min_month, -1).alias("month_start"))
+    rows = cells.where("account_id is not null").unionByName(marks, allowMissingColumns=True)
+    following = F.lead("month_start").over(Window.partitionBy("account_id").orderBy("month_start"))
+    values = [c for c in cells.columns if c not in ("account_id", "month_start")]
+    own = F.struct(F.col("month_start").alias("first"), F.col("month_start").alias("last"), *values)
+    gap = F.struct(F.add_months("month_start", 1).alias("first"), F.add_months(F.coalesce(following, F.add_months(max_month, 1)), -1).alias("last"),
+                   *[F.lit(None).cast(cells.schema[c].dataType).alias(c) for c in values])
+    return (rows.select("account_id", F.array(own, gap).alias("runs")).select("account_id", F.explode("runs").alias("run"))
+            .where((F.col("run.first") <= F.col("run.last")) & (F.col("run.first") >= min_month))
+            .select("account_id", F.col("run.first").alias("month_start"), F.col("run.last").alias("run_end"), *[f"run.{c}" for c in values]))
+
+
+def run_end(rows: DataFrame) -> F.Column:
+    """Last month of a row: `run_end` of runs, the row's own month of a snapshot."""
+    return F.col("run_end") if "run_end" in rows.columns else F.col("month_start")
+
+
+def run_months(rows: DataFrame, first: F.Column | None = None, last: F.Column | None = None) -> DataFrame:
+    """One row per month of each run, from `first` to `last` (NULL: unbounded); `prev_mrr`, if there,
+    becomes the MRR of the month before.  Rows that aren't runs are only filtered."""
+    begin = F.col("month_start") if first is None else F.greatest("month_start", first)
+    end = run_end(rows) if last is None else F.least(run_end(rows), last)
+    rows = rows.where(begin <= end)
+    if "run_end" not in rows.columns:
+        return rows
+    others = [c for c in rows.columns if c not in ("month_start", "run_end")]
+    every = rows.select(*others, F.col("month_start").alias("run_start"), F.explode(F.sequence(begin, end, F.expr("INTERVAL 1 MONTH"))).alias("month_start"))
+    if "prev_mrr" in others:
+        every = every.withColumn("prev_mrr", F.when(F.col("month_start") == F.col("run_start"), F.col("prev_mrr")).otherwise(F.col("mrr_amount")))
+    return every.drop("run_start")
+
+
 def account_month_state(tables: Tables, snapshot: DataFrame | None = None) -> DataFrame:
     """Dense (month_start, account_id, mrr_amount, prev_mrr) over the spine, 0 where absent."""
-    flows = account_month_flows(tables, snapshot, with_usage=False)
-    return (account_month_spine(tables.subscriptions)
-            .join(flows, ["account_id", "month_start"], "left")
-            .select("month_start", "account_id",
-                    F.coalesce("mrr_amount", zero_money()).alias("mrr_amount"),
-                    F.coalesce("prev_mrr", zero_money()).alias("prev_mrr")))
+    dense = run_months(calendar_runs(tables, account_month_flows(tables, snapshot, with_usage=False)).withColumnRenamed("prev_mrr", "before"))
+    return dense.select("month_start", "account_id", F.coalesce("mrr_amount", zero_money()).alias("mrr_amount"),
+                        F.coalesce("before", zero_money()).alias("prev_mrr"))
 
 
 def calendar_snapshot(tables: Tables, snapshot: DataFrame) -> DataFrame:
-    """The snapshot laid on every calendar month of every account: 0 MRR where it has no row,
-    plan_tier of the last month paid so far.  Cohorts, anchors, signals and reasons built on
-    it take the calendar churn basis (an account that disappears churns); built on the
-    snapshot itself they take the published observed one."""
-    paid = F.when(F.col("mrr_amount") > 0, F.struct("month_start", "plan_tier"))
-    so_far = Window.partitionBy("account_id").orderBy("month_start")
-    cells = snapshot.select("account_id", "month_start", "plan_tier", "mrr_amount")
-    return (account_month_spine(tables.subscriptions).join(cells, ["account_id", "month_start"], "left")
-            .select("month_start", "account_id", F.max(paid).over(so_far)["plan_tier"].alias("plan_tier"),
-                    F.coalesce("mrr_amount", zero_money()).alias("mrr_amount")))
+    """The snapshot laid on every calendar month of every account, as runs: 0 MRR where it has no
+    row, plan_tier (if the snapshot has it) of the last month paid so far.  Cohorts, anchors,
+    signals and reasons built on it take the calendar churn basis (an account that disappears
+    churns); built on the snapshot itself they take the published observed one."""
+    runs = calendar_runs(tables, snapshot.select("account_id", "month_start", "mrr_amount", *(["plan_tier"] if "plan_tier" in snapshot.columns else [])))
+    if "plan_tier" in runs.columns:
+        paid = F.when(F.col("mrr_amount") > 0, F.struct("month_start", "plan_tier"))
+        so_far = Window.partitionBy("account_id").orderBy("month_start")
+        runs = runs.withColumn("plan_tier", F.max(paid).over(so_far)["plan_tier"])
+    return runs.withColumn("mrr_amount", F.coalesce("mrr_amount", zero_money()))
 
 
 def _flag(c) -> F.Column:
@@ -128,7 +171,7 @@ def _flag(c) -> F.Column:
 def account_activity_state(tables: Tables, snapshot: DataFrame | None = None) -> DataFrame:
     """C14 + C15: dense paying / active flags with their previous-month values."""
     flows = account_month_flows(tables, snapshot, with_usage=True, paying_rows_only=False)
-    j = account_month_spine(tables.subscriptions).join(flows, ["account_id", "month_start"], "left")
+    j = run_months(calendar_runs(tables, flows.withColumnRenamed("prev_mrr", "before")))
     mrr = F.coalesce("mrr_amount", zero_money())
     use = F.coalesce("total_usage_count", F.lit(0).cast("bigint"))
     return j.select(
@@ -138,5 +181,5 @@ def account_activity_state(tables: Tables, snapshot: DataFrame | None = None) ->
         _flag(mrr).alias("is_paying"),
         _flag(use).alias("is_active"),
         _flag(F.coalesce("prev_usage_count", F.lit(0))).alias("prev_is_active"),
-        _flag(F.coalesce("prev_mrr", zero_money())).alias("prev_is_paying"),
+        _flag(F.coalesce("before", zero_money())).alias("prev_is_paying"),
     )

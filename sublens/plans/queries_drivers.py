@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from sublens.functions.columns import round6
 from sublens.operators import drivers, quality, reasons, signals, state
-from sublens.operators.snapshot import account_mrr_month
+from sublens.operators.snapshot import account_mrr, account_mrr_month
 from sublens.plans.registry import query
 from sublens.sources.tables import Tables
 
@@ -15,6 +15,11 @@ def _snap(t: Tables):
     return account_mrr_month(t.subscriptions)
 
 
+def _mrr(t: Tables):
+    """The snapshot for what needs no plan tier."""
+    return account_mrr(t.subscriptions)
+
+
 # Averages of doubles: their last bits depend on the order of summation, so the registered
 # queries round them to be comparable with the oracle; the operators return them unrounded.
 TICKET_AVERAGES = ("avg_resolution_hours", "avg_first_response_minutes", "avg_satisfaction_score")
@@ -72,88 +77,88 @@ def q_usage_dist(t: Tables):
 
 @query("first_churn_month")
 def q_first_churn(t: Tables):
-    return drivers.first_churn_month(_snap(t))
+    return drivers.first_churn_month(_mrr(t))
 
 
 @query("first_churn_month_calendar")
 def q_first_churn_calendar(t: Tables):
-    return drivers.first_churn_month(_snap(t), basis="calendar", tables=t)
+    return drivers.first_churn_month(_mrr(t), basis="calendar", tables=t)
 
 
 @query("account_month_cohorts")
 def q_cohorts(t: Tables):
-    return drivers.account_month_cohorts(_snap(t))
+    return drivers.account_month_cohorts(_mrr(t))
 
 
 @query("qc_cohort_grain")
 def q_cohort_grain(t: Tables):
-    return quality.grain_check(drivers.account_month_cohorts(_snap(t)), "month_start", "account_id")
+    return quality.grain_check(drivers.account_month_cohorts(_mrr(t)), "month_start", "account_id")
 
 
 @query("qc_cohort_negative")
 def q_cohort_negative(t: Tables):
-    return drivers.cohort_negative(drivers.account_month_cohorts(_snap(t)))
+    return drivers.cohort_negative(drivers.account_month_cohorts(_mrr(t)))
 
 
 @query("qc_cohort_counts")
 def q_cohort_counts(t: Tables):
-    return drivers.cohort_counts(drivers.account_month_cohorts(_snap(t)))
+    return drivers.cohort_counts(drivers.account_month_cohorts(_mrr(t)))
 
 
 @query("qc_cohort_sample")
 def q_cohort_sample(t: Tables):
-    return drivers.cohort_sample(drivers.account_month_cohorts(_snap(t)))
+    return drivers.cohort_sample(drivers.account_month_cohorts(_mrr(t)))
 
 
 @query("churn_driver_rows")
 def q_driver_rows(t: Tables):
-    return drivers.churn_driver_rows(t, _snap(t))
+    return drivers.churn_driver_rows(t, _mrr(t))
 
 
 @query("churn_driver_table_3m")
 def q_driver_table(t: Tables):
-    return _comparable(drivers.churn_driver_table(drivers.churn_driver_rows(t, _snap(t))), TICKET_AVERAGES)
+    return _comparable(drivers.churn_driver_table(drivers.churn_driver_rows(t, _mrr(t))), TICKET_AVERAGES)
 
 
 @query("qc_driver_sizes")
 def q_driver_sizes(t: Tables):
-    return drivers.churn_driver_table(drivers.churn_driver_rows(t, _snap(t))).select(
+    return drivers.churn_driver_table(drivers.churn_driver_rows(t, _mrr(t))).select(
         "cohort_label", "account_month_rows", "accounts")
 
 
 @query("churn_anchors")
 def q_anchors(t: Tables):
-    return signals.churn_anchors(_snap(t))
+    return signals.churn_anchors(_mrr(t))
 
 
 @query("anchor_windows")
 def q_anchor_windows(t: Tables):
-    return signals.anchor_windows(_snap(t))
+    return signals.anchor_windows(_mrr(t))
 
 
 @query("anchor_window_rows")
 def q_anchor_window_rows(t: Tables):
-    return signals.anchor_window_rows(t, _snap(t))
+    return signals.anchor_window_rows(t, _mrr(t))
 
 
 @query("anchor_window_rows_as_published")
 def q_anchor_window_rows_published(t: Tables):
-    return signals.anchor_window_rows_as_published(t, _snap(t))
+    return signals.anchor_window_rows_as_published(t, _mrr(t))
 
 
 @query("anchor_window_averages")
 def q_anchor_window_avgs(t: Tables):
-    return _comparable(signals.anchor_window_averages(signals.anchor_window_rows(t, _snap(t))), TICKET_AVERAGES)
+    return _comparable(signals.anchor_window_averages(signals.anchor_window_rows(t, _mrr(t))), TICKET_AVERAGES)
 
 
 @query("anchor_window_averages_as_published")
 def q_anchor_window_avgs_published(t: Tables):
-    rows = signals.anchor_window_rows_as_published(t, _snap(t))
+    rows = signals.anchor_window_rows_as_published(t, _mrr(t))
     return _comparable(signals.anchor_window_averages_as_published(rows), TICKET_AVERAGES)
 
 
 def _signals(t: Tables):
-    return signals.change_signals_account(signals.anchor_window_rows(t, _snap(t)))
+    return signals.change_signals_account(signals.anchor_window_rows(t, _mrr(t)))
 
 
 @query("change_signals_3m_account")
@@ -163,7 +168,7 @@ def q_signals(t: Tables):
 
 @query("change_signals_3m_account_as_published")
 def q_signals_published(t: Tables):
-    return signals.change_signals_account_as_published(t, _snap(t))
+    return signals.change_signals_account_as_published(t, _mrr(t))
 
 
 @query("qc_signals_grain")
@@ -193,7 +198,7 @@ def q_signals_summary(t: Tables):
 
 @query("change_signals_3m_summary_as_published")
 def q_signals_summary_published(t: Tables):
-    return _comparable(signals.change_signals_summary(signals.change_signals_account_as_published(t, _snap(t))), DELTA_AVERAGES)
+    return _comparable(signals.change_signals_summary(signals.change_signals_account_as_published(t, _mrr(t))), DELTA_AVERAGES)
 
 
 @query("change_signals_with_tier")
@@ -254,18 +259,18 @@ def q_reason_missing(t: Tables):
 
 
 # The same over the calendar churn basis.
-def _calendar(t: Tables):
-    return state.calendar_snapshot(t, _snap(t))
+def _calendar(t: Tables, snapshot: DataFrame | None = None):
+    return state.calendar_snapshot(t, _snap(t) if snapshot is None else snapshot)
 
 
 @query("account_month_cohorts_calendar")
 def q_cohorts_calendar(t: Tables):
-    return drivers.account_month_cohorts(_calendar(t))
+    return drivers.account_month_cohorts(_calendar(t, _mrr(t)))
 
 
 @query("churn_anchors_calendar")
 def q_anchors_calendar(t: Tables):
-    return signals.churn_anchors(_calendar(t))
+    return signals.churn_anchors(_calendar(t, _mrr(t)))
 
 
 @query("change_signals_with_tier_calendar")
