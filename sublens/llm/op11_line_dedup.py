@@ -74,11 +74,12 @@ def dropped_lines(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, r
         "*", F.sum("new").over(whole).alias("documents"))
     other = ~F.col("doc_id").eqNullSafe(F.col("keeper"))
     # Lines that go for certain, and all of split cells, whose totals are still to come.
-    kept = written(numbered.where(F.col("split") | ((F.col("documents") >= least_docs) & other)).drop("range", "new"), "repeated-lines")
-    totals = kept.where("split and place = 1").groupBy("hash").agg(
-        F.sum("documents").alias("documents"), F.max("doc_id").alias("keeper")).where(F.col("documents") >= least_docs).drop("documents")
-    return kept.where("not split").select("doc_id", "text_id", "pos").unionAll(
-        kept.where("split").drop("documents", "keeper").join(totals, "hash").where(other).select("doc_id", "text_id", "pos"))
+    kept = written(numbered.where(F.col("split") | ((F.col("documents") >= least_docs) & other)).drop("new"), "repeated-lines")
+    # A split hash is one row per range in its total, and its lines meet the total range by range.
+    every_range = Window.partitionBy("hash")
+    totals = kept.where("split and place = 1").select("range", "hash", F.sum("documents").over(every_range).alias("documents"), F.max("keeper").over(every_range).alias("keeper"))
+    split = kept.where("split").drop("documents", "keeper").join(totals.where(F.col("documents") >= least_docs), ["range", "hash"]).where(other)
+    return kept.where("not split").select("doc_id", "text_id", "pos").unionAll(split.select("doc_id", "text_id", "pos"))
 
 
 def keep_bitmaps(docs: DataFrame, least_chars: int = 40, least_docs: int = 5, ranges: int | None = None) -> DataFrame:
