@@ -22,7 +22,8 @@ from sublens.sources.tables import Tables
 ENTRY = "version long, folder string"
 
 
-def _entries(spark: SparkSession, warehouse: str) -> DataFrame | None:
+def entries(spark: SparkSession, warehouse: str) -> DataFrame | None:
+    """(version, folder) of every version published, None before the first."""
     try:
         return spark.read.schema(ENTRY).json(os.path.join(warehouse, "manifest"))
     except AnalysisException as missing:
@@ -33,8 +34,8 @@ def _entries(spark: SparkSession, warehouse: str) -> DataFrame | None:
 
 def published(spark: SparkSession, warehouse: str) -> list[tuple[int, str]]:
     """(version, folder) of the versions, the newest first: one short row a load."""
-    entries = _entries(spark, warehouse)
-    return [] if entries is None else [(r.version, r.folder) for r in entries.orderBy(F.desc("version")).collect()]
+    found = entries(spark, warehouse)
+    return [] if found is None else [(r.version, r.folder) for r in found.orderBy(F.desc("version")).collect()]
 
 
 def publish(spark: SparkSession, warehouse: str, version: int, folder: str) -> None:
