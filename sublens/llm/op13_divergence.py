@@ -31,7 +31,7 @@ SCALE = 10**9
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # of UTF-8: letters and every byte of other characters
 COUNTED = "lang string, source string, term string, n long, docs long"
 PRICED = "lang string, source string, part string, item string, value long"
-HELD = 200_000  # distinct (lang, source, term) that a task holds before it passes them on
+HELD = 80_000_000  # bytes of distinct (lang, source, term) that a task holds, as estimated, before it passes them on
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -53,14 +53,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
             lang, source, text = (batch.column(i).to_pylist() for i in range(3))
             for group, t in zip(zip(lang, source), text):
                 terms = have[group]
-                size -= len(terms)
                 for term, n in Counter(TERM.findall(t.encode().lower())).items():
                     if (old := terms.get(term)) is None:
                         terms[term] = [n, 1]
+                        size += len(term) + 200
                     else:
                         old[0] += n
                         old[1] += 1
-                size += len(terms)
                 if size > HELD:
                     yield from flush()
                     size = 0
