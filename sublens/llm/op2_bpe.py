@@ -5,7 +5,8 @@ tokens that are suffixes of it are found by walking an automaton of the reversed
 backwards; the right one is compatible with the last token of the prefix it leaves, meaning
 that merging by rank would never join anything across the border of the two.  Back-pointers
 (token lengths) then give the ids from the end.  All prefixes of one length, over all new
-pre-tokens of a batch, are decided together with array operations.
+pre-tokens of a batch, are decided together with array operations.  For a long pre-token the
+matches of all prefixes of a block are found together, and the pairs already judged are kept.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from sublens.llm.vocabulary import NONE, load, merged, ragged, split_added
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 ENCODED_SCHEMA = "doc_id bigint, ids array<int>"
+LONG = 200  # bytes from which a pre-token is encoded by itself; cost only
 
 
 @cache
@@ -69,8 +71,76 @@ def compatible(vocab, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def compatible_one(vocab, a: int, b: int) -> bool:
+    """`compatible` for one pair."""
+    below = NONE
+    while True:
+        if (joint := vocab.merge_of.get(a << 32 | b, NONE)) < below:
+            return False
+        if a < 256 and b < 256:
+            return True
+        if b < 256 or a > b:
+            below, a = a, vocab.right_of[a]
+        else:
+            below, b = b + 1, vocab.left_of[b]
+
+
+def encode_long(tokenizer: bytes, item: bytes, block: int = 1 << 17) -> list[int]:
+    """Symbols of one byte sequence of any length, in time and memory linear in it."""
+    vocab, (table, spells) = load(tokenizer), automaton(tokenizer)
+    data = np.frombuffer(item, dtype=np.uint8)
+    width_of = [len(c) for c in vocab.content]
+    last: list[int] = []
+    judged: dict[int, bool] = {}
+    for begin in range(0, len(data), block):
+        ends = np.arange(begin, min(begin + block, len(data)))
+        state, found, back = np.zeros(len(ends), dtype=np.int64), [], 0
+        while len(ends):
+            state = lookup(table, state.astype(np.uint64) << np.uint64(8) | data[ends - back]).astype(np.int64)
+            alive = state >= 0
+            state, ends = state[alive], ends[alive]
+            some = spells[state] >= 0
+            found.append((ends[some], spells[state[some]].astype(np.int64)))
+            back += 1
+            inside = ends >= back
+            state, ends = state[inside], ends[inside]
+        at = np.concatenate([e for e, _ in found[::-1]])  # longest first
+        by = np.argsort(at, kind="stable")
+        symbols = np.concatenate([s for _, s in found[::-1]])[by].tolist()
+        cuts = np.searchsorted(at[by], np.arange(begin, min(begin + block, len(data)) + 1)).tolist()
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:]), begin):
+            for symbol in symbols[a:b]:
+                before = i - width_of[symbol]
+                if before < 0:
+                    break
+                pair = last[before] << 32 | symbol
+                if (fits := judged.get(pair)) is None:
+                    fits = judged[pair] = compatible_one(vocab, last[before], symbol)
+                if fits:
+                    break
+            last.append(symbol)
+        if len(judged) > 2_000_000:
+            judged = {}
+    out, i = [], len(last) - 1
+    while i >= 0:
+        out.append(last[i])
+        i -= width_of[last[i]]
+    return vocab.token_id[out[::-1]].tolist()
+
+
 def encode_items(tokenizer: bytes, items: list[bytes]) -> list[list[int]]:
-    """Symbols of each non-empty byte sequence."""
+    """Ids of each non-empty byte sequence: short ones together, long ones each by itself."""
+    short = [i for i, x in enumerate(items) if len(x) <= LONG]
+    out: list[list[int]] = [[] for _ in items]
+    for i, ids in zip(short, _encode_short(tokenizer, [items[i] for i in short])):
+        out[i] = ids
+    for i, x in enumerate(items):
+        if len(x) > LONG:
+            out[i] = encode_long(tokenizer, x)
+    return out
+
+
+def _encode_short(tokenizer: bytes, items: list[bytes]) -> list[list[int]]:
     vocab, (table, spells) = load(tokenizer), automaton(tokenizer)
     order = sorted(range(len(items)), key=lambda i: -len(items[i]))
     data, bounds = ragged([items[i] for i in order])

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import hashlib
 import sys
-import unicodedata
 from functools import cache
 
 import numpy as np
@@ -12,19 +10,23 @@ import numpy as np
 from sublens.llm.common import prefix_sums, span_hashes
 
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
-WHITE_SPACE = [*range(0x09, 0x0E), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
-SHORT = 64  # longer pre-tokens are named by a cryptographic hash of their characters
+SURROGATES = range(0xD800, 0xE000)  # in no text
 
 
 @cache
 def classes() -> np.ndarray:
-    """The class of every code point."""
+    """The class of every code point, as the tokenizers library's own patterns see it (its Unicode
+    version, not Python's): the runs of each class in the string of all code points."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+    points = [c for c in range(sys.maxunicode + 1) if c not in SURROGATES]
+    every = "".join(map(chr, points))
+    known = np.zeros(len(points), dtype=np.uint8)
+    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
+        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
+            known[a:b] = kind
     out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
-    for c in range(sys.maxunicode + 1):
-        kind = unicodedata.category(chr(c))[0]
-        if kind in "LN":
-            out[c] = LETTER if kind == "L" else NUMBER
-    out[WHITE_SPACE] = BLANK
+    out[points] = known
     return out
 
 
@@ -72,33 +74,40 @@ def split(points: np.ndarray, text_starts: np.ndarray, leading_space: bool) -> t
     return at, kind[at]
 
 
-def named(points: np.ndarray, joined: str, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit name of each pre-token: equal strings have equal names."""
-    names = span_hashes(prefix_sums(points), start, end)
-    for i in np.flatnonzero(end - start > SHORT).tolist():
-        digest = hashlib.blake2b(joined[start[i]:end[i]].encode(), digest_size=8).digest()
-        names[i] = int.from_bytes(digest, "little")
-    return names
+def distinct(points: np.ndarray, joined: str, start: np.ndarray, end: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """The distinct pre-tokens, and the index into them of each one.  Hashes group them; then every
+    character of a group is compared with those of its first, and strings decide if two differ."""
+    _, first, inverse = np.unique(span_hashes(prefix_sums(points), start, end), return_index=True, return_inverse=True)
+    length = end - start
+    same = (length == length[first][inverse]).all()
+    if same:
+        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        same = (points[np.repeat(start, length) + inside] == points[np.repeat(start[first][inverse], length) + inside]).all()
+    if not same:
+        index: dict[str, int] = {}
+        inverse = np.array([index.setdefault(joined[a:b], len(index)) for a, b in zip(start.tolist(), end.tolist())], dtype=np.int64)
+        return list(index), inverse
+    return [joined[a:b] for a, b in zip(start[first].tolist(), end[first].tolist())], inverse
 
 
 class Memo:
-    """What is known of pre-tokens already met by this worker; emptied when it holds `most`.
+    """What is known of pre-tokens already met by this worker; emptied when it holds `most` of them
+    or `most_chars` characters.
 
     solve(list of strings) returns one value for each."""
 
-    def __init__(self, solve, most: int = 300_000):
-        self.solve, self.most, self.known = solve, most, {}
+    def __init__(self, solve, most: int = 300_000, most_chars: int = 10_000_000):
+        self.solve, self.most, self.most_chars = solve, most, most_chars
+        self.known, self.chars = {}, 0
 
     def values(self, points, joined, start, end) -> tuple[list, np.ndarray]:
         """(values of the distinct pre-tokens, index into them for each pre-token)."""
-        unique, first, inverse = np.unique(named(points, joined, start, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(unique) > self.most:
-            self.known = {}
-        keys = unique.tolist()
+        strings, inverse = distinct(points, joined, start, end)
+        if len(self.known) + len(strings) > self.most or self.chars > self.most_chars:
+            self.known, self.chars = {}, 0
         known = self.known
-        new = [i for i, k in enumerate(keys) if k not in known]
+        new = [s for s in strings if s not in known]
         if new:
-            a, b = start[first[new]].tolist(), end[first[new]].tolist()
-            for i, v in zip(new, self.solve([joined[x:y] for x, y in zip(a, b)])):
-                known[keys[i]] = v
-        return [known[k] for k in keys], inverse
+            known.update(zip(new, self.solve(new)))
+            self.chars += sum(map(len, new))
+        return [known[s] for s in strings], inverse

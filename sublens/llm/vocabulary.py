@@ -46,7 +46,8 @@ def load(blob: bytes) -> SimpleNamespace:
     added = {t["content"]: t["id"] for t in spec["added_tokens"]}
     of_id = {int(token_id[k]): content[k] for k in range(n) if token_id[k] >= 0} | {i: s.encode() for s, i in added.items()}
     pair = key_table(left[256:].astype(np.uint64) << np.uint64(32) | right[256:].astype(np.uint64), np.arange(256, n, dtype=np.int32))
-    return SimpleNamespace(n=n, left=left, right=right, token_id=token_id, content=content, product=product, added=added, of_id=of_id, pair=pair)
+    merge_of = {a << 32 | b: k for k, (a, b) in enumerate(zip(left[256:].tolist(), right[256:].tolist()), 256)}
+    return SimpleNamespace(merge_of=merge_of, left_of=left.tolist(), right_of=right.tolist(), n=n, left=left, right=right, token_id=token_id, content=content, product=product, added=added, of_id=of_id, pair=pair)
 
 
 def merged(vocab, a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -66,6 +66,56 @@ def test_every_pair_of_tokens_is_judged_as_merging_does():
     assert op4_token_counts.surviving(vocab, items).tolist() == [len(e) for e in encoded]
 
 
+def test_every_code_point_as_the_library_splits_it():
+    """Each code point between letters, digits and signs: assigned in Python's Unicode or not."""
+    lib, blob = library("byte_bpe_50k.json"), vocabulary_file("byte_bpe_50k.json")
+    vocab = op2_bpe.load(blob)
+    memo = op2_bpe.Memo(lambda items: op2_bpe._solve(blob, items))
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c < 0x32000 or 0xE0000 <= c < 0xE0200 or c % 997 == 0)]
+    for at in range(0, len(points), 4000):
+        texts = [f"a{chr(c)}b1{chr(c)}2.{chr(c)}! {chr(c)}{chr(c)} x" for c in points[at:at + 4000]]
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        got = [[int(i) for x in strings for i in x.split(",")] for _, strings, _ in op2_bpe._per_text(texts, vocab, memo)]
+        assert got == want
+        joined = "".join(texts)
+        bounds = [0]
+        for t in texts:
+            bounds.append(bounds[-1] + len(t))
+        start, _ = op4_token_counts.split(op4_token_counts.code_points(joined), bounds[:-1], leading_space=True)
+        assert len(start) == sum(len(lib.pre_tokenizer.pre_tokenize_str(t)) for t in texts)
+
+
+@pytest.mark.parametrize("letters", ["ab", "abcdefghij", "thequickbrownfoxéß漢"])
+def test_long_pre_tokens(letters):
+    rng = random.Random(len(letters))
+    text = "".join(rng.choice(letters) for _ in range(60_000))
+    blob = vocabulary_file("byte_bpe_50k.json")
+    want = library("byte_bpe_50k.json").encode(text, add_special_tokens=False).ids
+    assert op2_bpe.encode_items(blob, [text.encode(), b"x"])[0] == want
+    assert op2_bpe.encode_long(blob, text.encode(), block=777) == want
+
+
+def test_a_pre_token_of_a_million_characters_within_a_minute():
+    import time
+    rng = random.Random(9)
+    blob, data = vocabulary_file("byte_bpe_50k.json"), bytes(rng.choices(range(97, 123), k=1_000_000))
+    op2_bpe.automaton(blob)
+    began = time.process_time()
+    ids = op2_bpe.encode_items(blob, [data])[0]
+    assert time.process_time() - began < 60
+    assert b"".join(op2_bpe.load(blob).of_id[i] for i in ids) == data
+
+
+def test_pre_tokens_of_equal_hash_are_told_apart(monkeypatch):
+    import numpy as np
+    from sublens.llm import pretokens
+    monkeypatch.setattr(pretokens, "span_hashes", lambda sums, start, end: np.zeros(len(start), dtype=np.uint64))
+    joined = "abcabcabdab"
+    start, end = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 11])
+    strings, inverse = pretokens.distinct(pretokens.code_points(joined), joined, start, end)
+    assert [strings[i] for i in inverse] == ["abc", "abc", "abd", "ab"]
+
+
 def check_packing(rows, texts_of, capacity, lib):
     by_doc, by_sequence = defaultdict(list), defaultdict(list)
     for r in rows:
