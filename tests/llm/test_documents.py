@@ -278,7 +278,88 @@ def test_pipeline_stages(spark):
     assert {r.doc_id for r in single.collect()} == groups
     assert all(r.text == op6_secrets.redacted(s.text) for r, s in zip(masked.orderBy("doc_id").collect(), single.orderBy("doc_id").collect()))
     assert {r.doc_id for r in packed.collect()} == {r.doc_id for r in masked.collect()}
+
+
+def clashing(df):
+    """`df` with columns named like those that the stages make."""
+    for k, name in enumerate(("score", "predicted", "lang_pred", "place", "text_hash", "id_key", "row", "first", "text_kept", "odd name, <here>")):
+        df = df.withColumn(name, F.lit(f"own {k}"))
+    return df
+
+
+def test_every_stage_takes_nulls_repeats_empty_tables_and_clashing_names(spark):
+    whole = spark.read.parquet(f"{TINY}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "s", 0)] * 2, whole.schema)
-    for _, stage in corpus_pipeline.STAGES[2:]:
-        assert stage(spark, odd, TINY).count() == 1 or stage is corpus_pipeline.secrets or stage is corpus_pipeline.packing
-        assert stage(spark, odd.limit(0), TINY).count() == 0
+    more = clashing(whole.limit(40).unionByName(odd))
+    kept = {name: stage(spark, more, TINY) for name, stage in corpus_pipeline.STAGES}
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, clashing(odd).limit(0), TINY).count() == 0, name
+        if name != "packing":
+            assert kept[name].columns == more.columns
+            rows = kept[name].collect()
+            assert rows and all(r["row"] == "own 6" and r["score"] == "own 0" and r["text_hash"] == "own 4" and r["odd name, <here>"] == "own 9" for r in rows), name
+    assert kept["language_id"].where("coalesce(text, '') = ''").count() == 0
+    assert kept["near_duplicates"].where("coalesce(text, '') = ''").count() == 1
+    assert kept["secrets"].count() == kept["packing"].where("piece = 0").count() == 44
+
+
+@pytest.fixture(scope="module")
+def raw_corpus(spark, tmp_path_factory):
+    """A folder of documents and labels with copies, near copies, secrets, null and empty rows."""
+    rng = random.Random(11)
+    good = spark.read.parquet(f"{TINY}/documents.parquet").join(spark.read.parquet(f"{TINY}/labels.parquet").where("quality = 1"), "doc_id")
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in good.select("doc_id", "text", "lang", "source", "n_chars").orderBy("doc_id").collect() if len(r.text) > 300][:60]
+    low = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{TINY}/documents.parquet").join(
+        spark.read.parquet(f"{TINY}/labels.parquet").where("quality = 0"), "doc_id").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    copies = [(10_000 + k, rows[k][1], rows[k][2], "copy", rows[k][4]) for k in range(8)]
+    near = [(20_000 + k, rows[k][1] + " one more", rows[k][2], "near", rows[k][4] + 9) for k in range(4, 12)]
+    hidden = base64.b64encode(b"and so password = hunter22hunter22 it is").decode()
+    leaks = [(30_000 + k, f"{rows[20 + k][1]} token={'Q' * (8 + k)} {hidden} {rng.random()}", rows[20 + k][2], "leak", 1) for k in range(6)]
+    given = [*rows, *low, *copies, *near, *leaks, (None, None, None, None, None), (40_000, "", "en", "s", 0), (40_001, "... 12", "en", "s", 6), rows[0]]
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    spark.createDataFrame(given, schema).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.read.parquet(f"{TINY}/labels.parquet").write.parquet(f"{folder}/labels.parquet")
+    return folder, given
+
+
+def shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return frozenset(tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def test_pipeline_run_against_plain_stages(spark, raw_corpus):
+    """run() against the two classifiers' decisions and plain Python for all that follows them."""
+    from tokenizers import Tokenizer
+    from sublens.llm.queries import vocabulary_file
+    folder, given = raw_corpus
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    packed = corpus_pipeline.run(spark, folder).collect()
+    spoken = {r.doc_id for r in op9_language.language_id(docs, remainder(F.col("doc_id"), 4) == 2).collect() if r.lang_pred != "und" and r.score >= 0.5}
+    fine = {r.doc_id for r in op5_quality.quality(docs, spark.read.parquet(f"{folder}/labels.parquet"), remainder(F.col("doc_id"), 3) == 1).collect() if r.predicted}
+    left = sorted({g for g in given if g[0] in spoken and g[0] in fine}, key=lambda g: g[0])
+    assert {None, 40_000, 40_001}.isdisjoint(g[0] for g in left) and len(left) >= 70
+    sets, group = [shingles(g[1]) for g in left], list(range(len(left)))
+    for i in range(len(left)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [min(a, b) if x in (a, b) else x for x in group]
+    first = [g for i, g in enumerate(left) if group[i] == i]
+    assert len(left) - len(first) >= 8 and all(g[3] != "copy" for g in first)
+    lib = Tokenizer.from_str(vocabulary_file("word_bpe_49k.json").decode())
+    want = {}
+    for g in first:
+        text = g[1]
+        if g[3] == "leak":  # the masked forms are known: the assignment and the whole base64 run
+            head, secret, code, tail = re.fullmatch(r"(.*) (token=Q+) (\S+) (\S+)", text, re.S).groups()
+            text = f"{head} [secret] [secret] {tail}"
+        ids = [*lib.encode(text, add_special_tokens=False).ids, 1]
+        for at in range(0, len(ids), 4096):
+            want[g[0], at // 4096] = (at, len(ids[at:at + 4096]), zlib.crc32(b"".join(i.to_bytes(4, "little") for i in ids[at:at + 4096])))
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in packed} == want
+    filled = {}
+    for r in packed:
+        filled.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for spans in filled.values():
+        assert all(a[0] + a[1] == b[0] for a, b in zip(sorted(spans), sorted(spans)[1:])) and min(spans)[0] == 0 and sum(n for _, n in spans) <= 4096
