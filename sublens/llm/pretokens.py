@@ -20,13 +20,15 @@ def classes() -> np.ndarray:
     from tokenizers import Regex
     from tokenizers.pre_tokenizers import Split
     points = [c for c in range(sys.maxunicode + 1) if c not in SURROGATES]
-    every = "".join(map(chr, points))
-    known = np.zeros(len(points), dtype=np.uint8)
-    for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+"), (BLANK, r"\s+")):
-        for _, (a, b) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(every):
-            known[a:b] = kind
+    runs = Split(Regex(r"\p{L}+|\p{N}+|\s+"), "removed", invert=True)
+    found = [(at + a, at + b) for at in range(0, len(points), 1024)  # its time grows faster than the string
+             for _, (a, b) in runs.pre_tokenize_str("".join(map(chr, points[at:at + 1024])))]
+    firsts = "".join(chr(points[a]) + "-" for a, _ in found)  # one character of each run, for its class
     out = np.zeros(sys.maxunicode + 1, dtype=np.uint8)
-    out[points] = known
+    for kind, pattern in ((LETTER, r"\p{L}"), (NUMBER, r"\p{N}"), (BLANK, r"\s")):
+        for _, (i, _) in Split(Regex(pattern), "removed", invert=True).pre_tokenize_str(firsts):
+            a, b = found[i // 2]
+            out[points[a:b]] = kind
     return out
 
 
@@ -79,10 +81,11 @@ def distinct(points: np.ndarray, joined: str, start: np.ndarray, end: np.ndarray
     character of a group is compared with those of its first, and strings decide if two differ."""
     _, first, inverse = np.unique(span_hashes(prefix_sums(points), start, end), return_index=True, return_inverse=True)
     length = end - start
-    same = (length == length[first][inverse]).all()
-    if same:
-        inside = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
-        same = (points[np.repeat(start, length) + inside] == points[np.repeat(start[first][inverse], length) + inside]).all()
+    same = bool((length == length[first][inverse]).all())
+    if same:  # each character lies as far from its like as their pre-tokens' starts
+        away = np.repeat((start[first][inverse] - start).astype(np.int32), length)
+        at = np.arange(len(points), dtype=np.int32) if len(away) == len(points) else np.arange(len(away), dtype=np.int32) + np.repeat((start - np.cumsum(length) + length).astype(np.int32), length)
+        same = bool((points[at] == points[at + away]).all())
     if not same:
         index: dict[str, int] = {}
         inverse = np.array([index.setdefault(joined[a:b], len(index)) for a, b in zip(start.tolist(), end.tolist())], dtype=np.int64)
