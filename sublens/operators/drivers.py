@@ -18,6 +18,7 @@ from sublens.sources.tables import Tables
 HIGH_PRIORITY = ("high", "urgent")
 RETAINED, CHURN_MONTH, PRE_CHURN, OTHER = "retained", "churn_month", "pre_churn_3m", "other"
 PRE_CHURN_MONTHS = (1, 3)
+MASKS, MASK_BITS = 2, 63  # longs that hold the features of a group, and features a long
 
 
 def support_account_month(tickets: DataFrame, high_priority: tuple[str, ...] = HIGH_PRIORITY) -> DataFrame:
@@ -44,18 +45,36 @@ def support_distribution(support: DataFrame) -> DataFrame:
 def usage_account_month(tables: Tables) -> DataFrame:
     """Total usage, distinct features and active flag per (month_start, account_id).
 
-    Usage is first reduced to (subscription, month, feature) so the join to subscriptions
-    and the distinct count both run on pre-aggregated rows.
+    The features of a group are a bitmap: the first MASKS * MASK_BITS feature names are numbered (an
+    exact dictionary, at most that many rows, hence broadcast) and a usage row carries its
+    feature's bit in one of MASKS longs.  Bitmaps merge with OR in the tasks before every shuffle,
+    so usage is one row per (subscription, month) when it meets the subscriptions, and one
+    per (month, account) after, and no shuffle is spent on telling features apart.  Names beyond
+    the dictionary, if there are any, are counted as distinct rows and added.
     """
-    per_feature = (tables.feature_usage_raw
-                   .groupBy("subscription_id", month_of("usage_date").alias("month_start"), "feature_name")
-                   .agg(F.sum(F.coalesce("usage_count", F.lit(0))).alias("usage_sum")))
+    usage = tables.feature_usage_raw.select("subscription_id", month_of("usage_date").alias("month_start"), "feature_name", F.coalesce("usage_count", F.lit(0)).alias("use"))
+    names = tables.feature_usage_raw.select("feature_name").where("feature_name is not null").distinct()
+    number = F.row_number().over(Window.orderBy("feature_name")) - 1
+    known = F.broadcast(names.orderBy("feature_name").limit(MASKS * MASK_BITS).select("feature_name", number.alias("number")))
+    bit = F.expr(f"shiftleft(1L, number % {MASK_BITS})")
+    masks = [f"mask_{i}" for i in range(MASKS)]
+    merged = [F.bit_or(m).alias(m) for m in masks]
+    marked = usage.join(known, "feature_name", "left").select(
+        "subscription_id", "month_start", "use", *[F.when(F.floor(F.col("number") / MASK_BITS) == i, bit).alias(m) for i, m in enumerate(masks)])
+    per_subscription = marked.groupBy("subscription_id", "month_start").agg(F.sum("use").alias("use"), *merged)
     subs = tables.subscriptions.select("subscription_id", "account_id")
-    monthly = (per_feature.join(subs, "subscription_id", "inner")
-               .groupBy("month_start", "account_id")
-               .agg(F.sum("usage_sum").cast("bigint").alias("total_usage_count"),
-                    F.countDistinct("feature_name").alias("distinct_features_used")))
-    return monthly.withColumn("active_flag", F.when(F.col("total_usage_count") > 0, 1).otherwise(0))
+    rows = per_subscription.join(subs, "subscription_id").select("month_start", "account_id", "use", *masks, F.lit(0).alias("beyond"))
+    # An empty `more` ends the branch at run time, before it reads the usage.
+    more = F.broadcast(names.agg(F.count("*").alias("n")).where(F.col("n") > MASKS * MASK_BITS).select(F.lit(1).alias("one")))
+    beyond = (usage.where("feature_name is not null").withColumn("one", F.lit(1)).join(more, "one").join(known, "feature_name", "left_anti")
+              .select("subscription_id", "month_start", "feature_name").distinct().join(subs, "subscription_id")
+              .select("month_start", "account_id", "feature_name").distinct()
+              .select("month_start", "account_id", F.lit(0).alias("use"), *[F.lit(None).cast("bigint").alias(m) for m in masks], F.lit(1).alias("beyond")))
+    distinct = sum((F.bit_count(F.coalesce(m, F.lit(0).cast("bigint"))) for m in masks), F.col("beyond"))
+    return (rows.unionByName(beyond).groupBy("month_start", "account_id")
+            .agg(F.sum("use").cast("bigint").alias("total_usage_count"), *merged, F.sum("beyond").alias("beyond"))
+            .select("month_start", "account_id", "total_usage_count", distinct.cast("bigint").alias("distinct_features_used"),
+                    F.when(F.col("total_usage_count") > 0, 1).otherwise(0).alias("active_flag")))
 
 
 def usage_distribution(usage: DataFrame) -> DataFrame:

@@ -94,3 +94,34 @@ def test_reason_is_first_non_reactivation_and_null_tier_dropped(make_tables):
     assert by_tier == [("Basic", "pricing", 1, 1.0)]
     (m,) = reasons.reason_missing(rows).collect()
     assert (m.churned_accounts, m.missing_plan_tier, m.missing_reason_code) == (2, 1, 1)
+
+
+def test_distinct_features_by_bitmaps_whatever_their_number(make_tables, monkeypatch):
+    import random
+    rng = random.Random(4)
+    subs = [sub(f"S{i}", f"A{i % 5}", "2024-01-01", None, 100) for i in range(12)] + [sub("S99", None, "2024-01-01", None, 100)]
+    names = [f"feature_{k}" for k in range(40)] + [None]
+    rows = [usage(i, rng.choice([f"S{k}" for k in range(12)] + ["S99", "orphan", None]), f"2024-0{rng.randint(1, 3)}-05",
+                  rng.choice([0, 1, 7, None]), rng.choice(names)) for i in range(500)]
+    t = make_tables(subs, rows)
+    account = {s[0]: s[1] for s in subs}
+    want = {}
+    for _, _, s, day, feature, count, *_ in rows:
+        if s in account:
+            total, seen = want.setdefault((day.replace(day=1), account[s]), [0, set()])
+            want[day.replace(day=1), account[s]][0] += count or 0
+            seen |= {feature} - {None}
+    want = {k: (v[0], len(v[1]), int(v[0] > 0)) for k, v in want.items()}
+    for masks, bits in ((2, 63), (1, 63), (2, 20), (1, 7), (3, 5)):  # all names in the dictionary, the last fits, or most are beyond
+        monkeypatch.setattr(drivers, "MASKS", masks)
+        monkeypatch.setattr(drivers, "MASK_BITS", bits)
+        got = {(r.month_start, r.account_id): (r.total_usage_count, r.distinct_features_used, r.active_flag) for r in drivers.usage_account_month(t).collect()}
+        assert got == want, (masks, bits)
+
+
+def test_usage_is_shuffled_three_times(make_tables):
+    t = make_tables([sub("S1", "A1", "2024-01-01")], [usage(1, "S1", "2024-01-05")])
+    frame = drivers.usage_account_month(t)
+    frame.collect()
+    final = frame._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "feature_name" not in "".join(line for line in final.split("\n") if "hashpartitioning" in line and "month_start" in line)
