@@ -67,6 +67,18 @@ def reload(spark: SparkSession, csv_folder: str, warehouse: str) -> Tables:
     return versions.current(spark, warehouse)
 
 
+def add_late_file(spark: SparkSession, name: str, path: str, warehouse: str) -> Tables:
+    """Add the rows of a late CSV file (or folder) to an event table of the warehouse: only their
+    months are rewritten.  Usage files take the numbers after those in use, so row ids stay unique.
+    A file must be added once: rows are not compared with those that are there."""
+    rows = load_table(spark, name, path)
+    if name == KEYLESS:
+        used = versions.current(spark, warehouse).feature_usage_raw.agg(F.max(F.shiftright("row_id", 36))).first()[0]
+        rows = enforce(read_records(text_lines(spark, path), FILE_SCHEMAS[name], READ_OPTIONS, number_from=0 if used is None else used + 1), TABLE_SCHEMAS[name])
+    versions.add_late(spark, warehouse, name, rows)
+    return versions.current(spark, warehouse)
+
+
 def round_trip(spark: SparkSession, tables: Tables, name: str) -> DataFrame:
     """Write one table as CSV to a fresh shared scratch folder and read it back typed."""
     path = scratch_path(spark, f"csv-{name}")

@@ -7,12 +7,6 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(df: DataFrame, min_partitions: int) -> DataFrame:
-    """Round-robin repartition for a caller whose source yields too few splits (one unsplittable
-    file); no operator or loader does this by itself."""
-    return df.repartition(min_partitions)
-
-
 @dataclass(frozen=True)
 class Tables:
     accounts: DataFrame
@@ -27,10 +21,6 @@ class Tables:
     def with_table(self, name: str, df: DataFrame) -> "Tables":
         return replace(self, **{name: df})
 
-    def spread(self, min_partitions: int) -> "Tables":
-        """All tables spread over `min_partitions` partitions, if the caller asks for it."""
-        return Tables(**{name: spread(df, min_partitions) for name, df in self.items()})
-
     @classmethod
     def from_parquet(cls, spark: SparkSession, folder: str) -> "Tables":
         """Read the five tables written as <folder>/<name>.parquet."""

@@ -42,12 +42,12 @@ def landing_stream(spark: SparkSession, source_dir: str) -> DataFrame:
 def _land(name: str, target_dir: str):
     def write(lines: DataFrame, batch: int) -> None:
         spark = lines.sparkSession
-        if any(b == batch for b, _ in warehouse.published(spark, target_dir)):
+        if batch in warehouse.versions(spark, target_dir):
             return  # written whole before the checkpoint could say so
         rows = read_records(lines, FILE_SCHEMAS[name], READ_OPTIONS, batch * BATCH_NUMBERS if name == KEYLESS else None)
         folder = f"data/batch={batch}"
         enforce(rows, TABLE_SCHEMAS[name]).write.mode("overwrite").parquet(os.path.join(target_dir, folder))
-        warehouse.publish(spark, target_dir, batch, folder)
+        warehouse.publish(spark, target_dir, batch, [(name, "", folder)])
     return write
 
 

@@ -124,10 +124,8 @@ def test_oracle_parity(spark, duck, name):
     assert _canon(sdf.columns, [tuple(r) for r in sdf.collect()]) == _canon(rel.columns, rel.fetchall())
 
 
-def test_inputs_are_spread_only_on_request(spark):
+def test_inputs_are_not_spread(spark):
     from sublens.sources.fixture import derive_tables
-    from sublens.sources.tables import spread
-    assert spread(spark.range(10).coalesce(1), 4).rdd.getNumPartitions() == 4
     plan = derive_tables(spark, SF_SMALL).subscriptions._jdf.queryExecution().executedPlan().toString()
     assert "RoundRobin" not in plan
 

@@ -104,6 +104,10 @@ def versioned(make_tables, n):
     return make_tables([sub(f"S{i}", "A1", "2024-01-01") for i in range(n)])
 
 
+def folders(place):
+    return sorted(os.listdir(os.path.join(place, "data")))
+
+
 def test_a_reader_sees_one_whole_version(spark, make_tables, monkeypatch):
     place = scratch_path(spark, "versions")
     with pytest.raises(FileNotFoundError):
@@ -111,26 +115,53 @@ def test_a_reader_sees_one_whole_version(spark, make_tables, monkeypatch):
     assert warehouse.replace(spark, place, versioned(make_tables, 2)) == 1
     reader = warehouse.current(spark, place)
     # a load that dies between two tables, and one that dies before it is published
-    write = Tables.write_parquet
-
-    def dying(self, folder, mode="overwrite"):
-        self.accounts.write.mode(mode).parquet(f"{folder}/accounts.parquet")
-        raise KeyboardInterrupt
-    monkeypatch.setattr(Tables, "write_parquet", dying)
-    with pytest.raises(KeyboardInterrupt):
-        warehouse.replace(spark, place, versioned(make_tables, 9))
-    monkeypatch.setattr(Tables, "write_parquet", write)
-    with monkeypatch.context() as m:
-        m.setattr(warehouse, "publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
-        with pytest.raises(KeyboardInterrupt):
-            warehouse.replace(spark, place, versioned(make_tables, 9))
-    assert warehouse.current(spark, place).subscriptions.count() == 2
+    write = warehouse._write
+
+    def dying(spark, place, folder, name, rows):
+        if name == "support_tickets":
+            raise KeyboardInterrupt
+        return write(spark, place, folder, name, rows)
+    for what, broken in (("_write", dying), ("publish", lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))):
+        with monkeypatch.context() as m:
+            m.setattr(warehouse, what, broken)
+            with pytest.raises(KeyboardInterrupt):
+                warehouse.replace(spark, place, versioned(make_tables, 9))
+        assert warehouse.current(spark, place).subscriptions.count() == 2
     # a load that completes: the reader of before keeps its version
     assert warehouse.replace(spark, place, versioned(make_tables, 5)) == 2
     assert reader.subscriptions.count() == 2 and warehouse.current(spark, place).subscriptions.count() == 5
     assert warehouse.current(spark, place, version=1).subscriptions.count() == 2
     with pytest.raises(Exception):
-        warehouse.publish(spark, place, 2, "data/other")
-    assert len(warehouse.expire(spark, place, keep=1)) == 3
-    assert warehouse.published(spark, place)[0][0] == 2 and len(warehouse.published(spark, place)) == 1
+        warehouse.publish(spark, place, 2, [("accounts", "", "data/other")])
+    assert len(folders(place)) == 4 and len(warehouse.expire(spark, place, keep=1)) == 3
+    assert warehouse.versions(spark, place) == [2] and len(folders(place)) == 1
     assert warehouse.current(spark, place).subscriptions.count() == 5
+
+
+def test_a_late_file_rewrites_only_its_months(spark):
+    place, first, late = (scratch_path(spark, n) for n in ("monthly", "first", "late"))
+    day = lambda k, m: f"u{k},S1,{m},f,{k},1,0,false\n"
+    os.makedirs(first)
+    os.makedirs(late)
+    for name, schema in csv_io.FILE_SCHEMAS.items():
+        with open(os.path.join(first, f"{name}.csv"), "w") as f:
+            f.write(",".join(schema.fieldNames()) + "\n")
+            if name == "feature_usage_raw":
+                f.write(day(1, "2024-01-31") + day(2, "2024-02-01") + day(3, "2024-02-29") + day(4, "2024-03-01"))
+    with open(os.path.join(late, "usage.csv"), "w") as f:
+        f.write(USAGE + "\n" + day(5, "2024-02-10") + day(6, "2024-05-10"))
+    csv_io.reload(spark, first, place)
+    before = dict((m, f) for t, m, f in warehouse.published(spark, place, 1) if t == "feature_usage_raw")
+    assert sorted(before) == ["2024-01", "2024-02", "2024-03"]
+    whole = csv_io.add_late_file(spark, "feature_usage_raw", late, place)
+    after = dict((m, f) for t, m, f in warehouse.published(spark, place, 2) if t == "feature_usage_raw")
+    assert sorted(after) == ["2024-01", "2024-02", "2024-03", "2024-05"]
+    assert {m for m in before if before[m] == after[m]} == {"2024-01", "2024-03"}
+    rows = whole.feature_usage_raw.collect()
+    assert sorted(r.usage_id for r in rows) == [f"u{k}" for k in range(1, 7)] and len({r.row_id for r in rows}) == 6
+    february = warehouse.current(spark, place, first="2024-02", last="2024-02").feature_usage_raw
+    assert sorted(r.usage_id for r in february.collect()) == ["u2", "u3", "u5"]
+    assert all("event_month=2024-02" in f for f in february.inputFiles())
+    assert warehouse.current(spark, place, version=1).feature_usage_raw.count() == 4
+    assert len(warehouse.expire(spark, place, keep=1)) == 0  # the new version still names folders of the old
+    assert warehouse.current(spark, place).feature_usage_raw.count() == 6 and warehouse.current(spark, place, first="2025-01").feature_usage_raw.count() == 0
