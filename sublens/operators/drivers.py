@@ -19,6 +19,7 @@ HIGH_PRIORITY = ("high", "urgent")
 RETAINED, CHURN_MONTH, PRE_CHURN, OTHER = "retained", "churn_month", "pre_churn_3m", "other"
 PRE_CHURN_MONTHS = (1, 3)
 MASKS, MASK_BITS = 2, 63  # longs that hold the features of a group, and features a long
+BUCKETS = 1024  # of feature names beyond those
 
 
 def support_account_month(tickets: DataFrame, high_priority: tuple[str, ...] = HIGH_PRIORITY) -> DataFrame:
@@ -64,9 +65,11 @@ def usage_account_month(tables: Tables) -> DataFrame:
     per_subscription = marked.groupBy("subscription_id", "month_start").agg(F.sum("use").alias("use"), *merged)
     subs = tables.subscriptions.select("subscription_id", "account_id")
     rows = per_subscription.join(subs, "subscription_id").select("month_start", "account_id", "use", *masks, F.lit(0).alias("beyond"))
-    # An empty `more` ends the branch at run time, before it reads the usage.
-    more = F.broadcast(names.agg(F.count("*").alias("n")).where(F.col("n") > MASKS * MASK_BITS).select(F.lit(1).alias("one")))
-    beyond = (usage.where("feature_name is not null").withColumn("one", F.lit(1)).join(more, "one").join(known, "feature_name", "left_anti")
+    # Hash buckets of the names beyond: at most BUCKETS rows, and none ends the branch at run time
+    # before it reads the usage.
+    bucket = F.pmod(F.xxhash64("feature_name"), F.lit(BUCKETS)).alias("bucket")
+    more = F.broadcast(names.join(known, "feature_name", "left_anti").select(bucket).distinct())
+    beyond = (usage.where("feature_name is not null").select("*", bucket).join(more, "bucket", "left_semi").join(known, "feature_name", "left_anti")
               .select("subscription_id", "month_start", "feature_name").distinct().join(subs, "subscription_id")
               .select("month_start", "account_id", "feature_name").distinct()
               .select("month_start", "account_id", F.lit(0).alias("use"), *[F.lit(None).cast("bigint").alias(m) for m in masks], F.lit(1).alias("beyond")))
