@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -90,6 +91,16 @@ _LOWER = _lower_table()
 _SHOWN = {b: c for c, b in byte_chars().items()}
 
 
+@cache
+def _library(tokenizer: bytes):
+    """The tokenizers library's object, once a worker: many small tasks don't each parse and hold one."""
+    from tokenizers import Tokenizer
+    library = Tokenizer.from_str(tokenizer.decode())
+    library.no_truncation()
+    library.no_padding()
+    return library
+
+
 def pieces(docs: DataFrame, tokenizer: bytes, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
            with_ids: bool = False) -> DataFrame:
     """Pieces of each text's ids (with `end_id` after them), numbered by length within the task.
@@ -98,10 +109,7 @@ def pieces(docs: DataFrame, tokenizer: bytes, capacity: int = 4096, end_id: int
     with_ids adds the ids of each piece.
     """
     def run(batches):
-        from tokenizers import Tokenizer
-        library = Tokenizer.from_str(tokenizer.decode())
-        library.no_truncation()
-        library.no_padding()
+        library = _library(tokenizer)
         model = library.model
         memo = Memo(lambda items: _solve(model, items), most=100_000)
         task, used = TaskContext.get().partitionId(), [0] * (capacity + 1)

@@ -162,3 +162,12 @@ def test_plan_closes_gaps_exactly():
             used[a] += times * n
     assert used == {60: 3, 40: 1, 25: 2, 15: 2, 20: 2, 10: 2, 7: 1}
     assert sum(t for t, _ in combos) == 4
+
+
+def test_packing_holds_one_tokenizer_a_worker():
+    """Many small tasks of a worker share it."""
+    import public_tokenizers
+    from sublens.llm import op10_packing
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        blob = f.read()
+    assert op10_packing._library(blob) is op10_packing._library(bytes(bytearray(blob)))
