@@ -3,8 +3,8 @@
 Spark's multiLine reader takes a file in one task, because only the quotes before a line end tell
 whether it ends a record.  Here each split of the file is a task, in two passes:
 
-1. Every task counts the lines and quotes of its splits (`measure`): one row a split, whatever its
-   size.  Running sums over a file's splits tell each of them whether it begins inside quotes, the
+1. Every task counts the lines of its splits and those with an odd number of quotes (`splits`): one
+   row a split, whatever its size; the rows of all splits are numbered by file in one task.  Running sums over a file's splits tell each of them whether it begins inside quotes, the
    number of its first line, and in which split the record began that is open at its start.
 2. Every task cuts its splits at true record ends (`cut`).  A record inside one split is whole; the
    pieces of a record that crosses splits are put together by the split in which it began.  Only
@@ -26,8 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import StructType
 
-STATS = "file string, block long, lines long, odd int, ends_even boolean, ends_odd boolean, crlf boolean"
-PIECES = "file string, began long, block long, line long, whole boolean, crlf boolean, text string"
+PIECES = "file long, began long, block long, line long, whole boolean, crlf boolean, text string"  # file: its number
 
 
 def text_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -39,57 +38,36 @@ def in_place(lines: DataFrame) -> DataFrame:
     return lines.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def _runs(batch) -> Iterator[tuple[str, int, object, object]]:
+def _runs(batch) -> Iterator[tuple[int, int, object, object]]:
     """(file, split, rows, quotes of each line) of the neighbouring rows of one split."""
     import numpy as np
     import pyarrow.compute as pc
     if not batch.num_rows:
         return
     block = batch.column("block").to_numpy(zero_copy_only=False)
-    file = batch.column("file").dictionary_encode()
-    code = file.indices.to_numpy(zero_copy_only=False)
+    file = batch.column("number").to_numpy(zero_copy_only=False)
     quotes = pc.count_substring(batch.column("value"), '"').to_numpy(zero_copy_only=False).astype(np.int64)
-    cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(code) != 0)) + 1).tolist(), batch.num_rows]
+    cuts = [0, *(np.flatnonzero((np.diff(block) != 0) | (np.diff(file) != 0)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
-        yield file.dictionary[int(code[a])].as_py(), int(block[a]), batch.slice(a, b - a), quotes[a:b]
-
-
-def measure(batches):
-    """One row of STATS a split; `ends_even` (`ends_odd`): some line ends after an even (odd) number of
-    the split's quotes; `crlf`: its first line ends with a carriage return."""
-    import numpy as np
-    import pyarrow as pa
-
-    def row(file, block, lines, quotes, even, odd, crlf):
-        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in (
-            (file, pa.string()), (block, pa.int64()), (lines, pa.int64()), (quotes & 1, pa.int32()), (even, pa.bool_()), (odd, pa.bool_()), (crlf, pa.bool_()))],
-            names=["file", "block", "lines", "odd", "ends_even", "ends_odd", "crlf"])
-    here = None
-    for batch in batches:
-        for file, block, rows, quotes in _runs(batch):
-            if here is None or here[:2] != [file, block]:
-                if here:
-                    yield row(*here)
-                here = [file, block, 0, 0, False, False, rows.column("value")[0].as_py().endswith("\r")]
-            after = (here[3] + np.cumsum(quotes)) & 1
-            here[2] += len(quotes)
-            here[3] += int(quotes.sum())
-            here[4] = here[4] or bool((after == 0).any())
-            here[5] = here[5] or bool((after == 1).any())
-    if here:
-        yield row(*here)
+        yield int(file[a]), int(block[a]), batch.slice(a, b - a), quotes[a:b]
 
 
 def splits(lines: DataFrame) -> DataFrame:
-    """file, block, opens (1: it begins inside quotes), first_line, began (the split in which the
-    record open at its start began), crossed (a record crosses its start or its end), crlf (of its file)."""
+    """file, block, number (of the file, in the order of the names), opens (1: it begins inside quotes),
+    first_line, began (the split in which the record open at its start began), crossed (a record
+    crosses its start or its end), crlf (of its file: its first line ends with a carriage return).
+
+    A split is read by one task and in order, so the first line that the aggregate meets is its first.
+    A split that begins outside quotes has a line that ends inside them if any line has an odd number."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     opens = F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2
     starts = F.when((F.col("opens") == 0) | F.col("ends_odd"), F.col("block"))  # a record that begins in it may go on after it
-    return (lines.mapInArrow(measure, STATS)
+    return (lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("lines"), F.sum(quotes % 2).alias("odd_lines"), F.first(F.endswith("value", F.lit("\r"))).alias("crlf"))
+            .select("file", "block", "lines", "crlf", (F.col("odd_lines") % 2).alias("odd"), (F.col("odd_lines") > 0).alias("ends_odd"))
             .withColumns({"opens": opens.cast("int"), "first_line": F.coalesce(F.sum("lines").over(before), F.lit(0))})
             .withColumn("began", F.last(starts, ignorenulls=True).over(before))
-            .select("file", "block", "opens", "first_line", F.coalesce("began", "block").alias("began"),
+            .select("file", "block", (F.dense_rank().over(Window.orderBy("file")) - 1).cast("long").alias("number"), "opens", "first_line", F.coalesce("began", "block").alias("began"),
                     F.first("crlf").over(Window.partitionBy("file").orderBy("block")).alias("crlf"),
                     ((F.col("opens") == 1) | ((F.col("opens") + F.col("odd")) % 2 == 1)).alias("crossed")))
 
@@ -103,7 +81,7 @@ def cut(batches):
 
     def pieces(state, lines, whole, texts):
         n, began = len(texts), state["began"] if state["head"] else state["block"]
-        return pa.RecordBatch.from_arrays([pa.array([state["file"]] * n, pa.string()), pa.array([began] * n, pa.int64()), pa.array([state["block"]] * n, pa.int64()), pa.array(lines, pa.int64()),
+        return pa.RecordBatch.from_arrays([pa.array([state["file"]] * n, pa.int64()), pa.array([began] * n, pa.int64()), pa.array([state["block"]] * n, pa.int64()), pa.array(lines, pa.int64()),
                                            pa.array([whole] * n, pa.bool_()), pa.array([state["crlf"]] * n, pa.bool_()), texts], names=["file", "began", "block", "line", "whole", "crlf", "text"])
 
     def part(state):  # what is open at the end of a split
@@ -142,14 +120,15 @@ def cut(batches):
 
 
 def records(lines: DataFrame, table: DataFrame) -> DataFrame:
-    """(file, line, text) of every record but headers and empty ones, from lines and their `splits`.
+    """(file, line, text) of every record but headers and empty ones, from lines and their `splits`; file
+    is its number, so that no task hands its name to Python with every line.
 
     The table of splits is broadcast: one row for each spark.sql.files.maxPartitionBytes of input."""
 
     def pieces(some):
         return lines.join(F.broadcast(some.drop("crossed")), ["file", "block"], "left" if some is table else "inner").withColumn(
             "opens", F.coalesce("opens", F.raise_error(F.lit("the splits of the input changed during the query")))).select(
-            "value", "file", "block", "opens", "first_line", "began", "crlf").mapInArrow(cut, PIECES)
+            "value", "number", "block", "opens", "first_line", "began", "crlf").mapInArrow(cut, PIECES)
     crossing = pieces(table.where("crossed")).where("not whole").groupBy("file", "began").agg(
         F.min("line").alias("line"), F.first("crlf").alias("crlf"), F.sort_array(F.collect_list(F.struct("block", "text"))).alias("parts")).select(
         "file", "line", "crlf", F.concat_ws("\n", "parts.text").alias("text"))
@@ -165,12 +144,10 @@ def parsed(found: DataFrame, schema: StructType, options: dict[str, str]) -> Dat
     return found.select("file", "line", row.alias("row")).select("file", "line", "row.*")
 
 
-def numbered(found: DataFrame, table: DataFrame, first: int = 0) -> DataFrame:
+def numbered(found: DataFrame, first: int = 0) -> DataFrame:
     """`found` with `row_id`: the number of its file (27 bits, from `first`, files in the order of their
-    names) and its line (36 bits) in one long.  Numbering takes one row a file into one task."""
-    number = F.row_number().over(Window.orderBy("file")) - 1 + first
-    files = table.select("file").distinct().select("file", number.cast("long").alias("number"))
-    return found.join(F.broadcast(files), "file").withColumn("row_id", F.shiftleft("number", 36).bitwiseOR(F.col("line"))).drop("number")
+    names) and its line (36 bits) in one long."""
+    return found.withColumn("row_id", F.shiftleft(F.col("file") + first, 36).bitwiseOR(F.col("line")))
 
 
 def read_records(lines: DataFrame, schema: StructType, options: dict[str, str], number_from: int | None = None) -> DataFrame:
@@ -178,5 +155,5 @@ def read_records(lines: DataFrame, schema: StructType, options: dict[str, str],
     table = splits(lines)
     rows = parsed(records(lines, table), schema, options)
     if number_from is not None:
-        rows = numbered(rows, table, number_from)
+        rows = numbered(rows, number_from)
     return rows.drop("file", "line")

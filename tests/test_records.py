@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -165,3 +166,16 @@ def test_a_late_file_rewrites_only_its_months(spark):
     assert warehouse.current(spark, place, version=1).feature_usage_raw.count() == 4
     assert len(warehouse.expire(spark, place, keep=1)) == 0  # the new version still names folders of the old
     assert warehouse.current(spark, place).feature_usage_raw.count() == 6 and warehouse.current(spark, place, first="2025-01").feature_usage_raw.count() == 0
+
+
+def _planned(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_load_hands_its_lines_to_python_once_for_the_records(spark):
+    """Splits are measured without Python, and a file's name doesn't go there with every line."""
+    path = scratch_path(spark, "lines")
+    spark.createDataFrame([("u1,S1,2024-03-03,f,1,1,1,true",)], "value string").write.text(path)
+    assert "MapInArrow" not in _planned(records.splits(records.text_lines(spark, path)))
+    plan = _planned(csv_io.load_table(spark, "feature_usage_raw", path))
+    assert plan.count("MapInArrow") == 2 and not re.search(r"MapInArrow cut\([^)]*file#", plan)
