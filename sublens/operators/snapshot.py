@@ -43,7 +43,7 @@ def _active_ranges(subscriptions: DataFrame) -> DataFrame:
     return subscriptions.withColumns({"first_month": month_of("start_date"), "last_month": last}).where("first_month <= last_month")
 
 
-def _months() -> Column:
+def months_of_range() -> Column:
     return F.explode(F.sequence("first_month", "last_month", F.expr("INTERVAL 1 MONTH"))).alias("month_start")
 
 
@@ -51,7 +51,7 @@ def active_month_rows(subscriptions: DataFrame) -> DataFrame:
     """One row per (subscription, month) in which the subscription is active at month end."""
     return (_active_ranges(subscriptions)
             .select("account_id", "subscription_id", "plan_tier", "seats", _mrr().alias("mrr_amount"),
-                    "start_date", "end_date", _months())
+                    "start_date", "end_date", months_of_range())
             .withColumn("month_end", F.last_day("month_start")))
 
 
@@ -65,7 +65,7 @@ def mrr_of_key(key: str) -> Column:
 
 
 def _best_keys(ranges: DataFrame) -> DataFrame:
-    return ranges.select("account_id", "winner_key", _months()).groupBy("month_start", "account_id").agg(F.max("winner_key").alias("winner_key"))
+    return ranges.select("account_id", "winner_key", months_of_range()).groupBy("month_start", "account_id").agg(F.max("winner_key").alias("winner_key"))
 
 
 def _winning_ranges(ranges: DataFrame) -> DataFrame:
@@ -76,9 +76,23 @@ def _winning_ranges(ranges: DataFrame) -> DataFrame:
     return ranges.withColumn("first_month", F.greatest("first_month", free)).where("first_month <= last_month")
 
 
+def keyed_ranges(subscriptions: DataFrame) -> DataFrame:
+    """account_id, first_month, last_month, winner_key: the best key of each account and month range.
+    An account has at most as many rows as the calendar has ranges, however many subscriptions."""
+    return (_active_ranges(subscriptions).select("account_id", "first_month", "last_month", winner_key().alias("winner_key"))
+            .groupBy("account_id", "first_month", "last_month").agg(F.max("winner_key").alias("winner_key")))
+
+
+def together(rows: DataFrame) -> DataFrame:
+    """All rows of an account in one task.  The number of tasks is given, so AQE doesn't merge them by
+    their size in the shuffle: ranges grow when they become months."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "account_id")
+
+
 def account_mrr(subscriptions: DataFrame) -> DataFrame:
-    """The MRR part of C5, without a join: month_start, account_id, mrr_amount."""
-    best = _best_keys(_active_ranges(subscriptions).withColumn("winner_key", winner_key()))
+    """The MRR part of C5, without a join: month_start, account_id, mrr_amount.  Ranges become months
+    behind a shuffle by account, which serves windows and joins by account too."""
+    best = _best_keys(together(keyed_ranges(subscriptions)))
     return best.select("month_start", "account_id", mrr_of_key("winner_key").alias("mrr_amount"))
 
 

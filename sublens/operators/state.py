@@ -4,25 +4,24 @@ The published definitions build a dense spine (every account in scope x every ca
 month), LEFT JOIN the snapshot and usage onto it and read the previous calendar month
 with LAG.  Every lens count needs the account to be paying in the month or in the one
 before, so only account-months next to a snapshot row can contribute.  The lenses
-therefore run on a sparse state: each snapshot (and usage) row is emitted once for its
-own month and once, shifted, as the "previous month" value of the next month, and one
-aggregation on (account_id, month_start) folds them together.  That costs one shuffle of
-rows that already exist, instead of materialising accounts x months and sorting it.
-
-The dense state (C9, C15) and the calendar churn basis are run-length coded: an account's
-rows and the gaps between them are runs of months (`calendar_runs`), as many as twice its
-rows and one, however long the calendar.  Runs become months only where a result has a row
-for every month (`run_months`), and then only for the months asked for.  The dense spine
-itself is offered too (C8).
+therefore run on a sparse state: snapshot and usage rows are brought together by account
+(`account_cells`, one shuffle, one aggregation), where a window reads the month before and
+adds the month after a row that has none of its own.
+
+The dense state (C9, C15) lays the same rows on the whole calendar in one explode.  The
+calendar churn basis is run-length coded: an account's rows and the gaps between them are
+runs of months (`calendar_runs`), as many as twice its rows and one, however long the
+calendar.  Runs become months only where a result has a row for every month (`run_months`),
+and then only for the months asked for.  The dense spine itself is offered too (C8).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, WindowSpec, functions as F
 
 from sublens.functions.columns import month_of
 from sublens.operators.calendar import bound_scalars
-from sublens.operators.snapshot import account_mrr
+from sublens.operators.snapshot import keyed_ranges, months_of_range, mrr_of_key, together
 from sublens.sources.tables import Tables
 
 
@@ -43,22 +42,61 @@ def account_month_spine(subscriptions: DataFrame) -> DataFrame:
                     F.explode(F.sequence(min_month, max_month, F.expr("INTERVAL 1 MONTH"))).alias("month_start")))
 
 
-def _usage_by_subscription_month(usage: DataFrame) -> DataFrame:
-    """Usage summed per (subscription, month) before it meets the subscriptions table:
-    the map-side partial aggregate shrinks a hot subscription to one row per month."""
-    return (usage.groupBy("subscription_id", month_of("usage_date").alias("month_start"))
-            .agg(F.sum(F.coalesce("usage_count", F.lit(0))).alias("usage_sum")))
-
-
 def usage_by_account_month(tables: Tables) -> DataFrame:
-    """(account_id, month_start, total_usage_count); inner join, so orphan usage drops."""
-    subs = tables.subscriptions.select("subscription_id", "account_id")
-    return (_usage_by_subscription_month(tables.feature_usage_raw)
-            .join(subs, "subscription_id", "inner")
+    """(account_id, month_start, total_usage_count); inner join, so orphan usage drops.
+
+    Usage rows meet the subscriptions as they are (a key with most rows is split by AQE) and are
+    summed once, in the tasks of the join before they are shuffled by account and month."""
+    usage = tables.feature_usage_raw.select("subscription_id", month_of("usage_date").alias("month_start"),
+                                            F.coalesce("usage_count", F.lit(0)).alias("usage_sum"))
+    return (usage.join(tables.subscriptions.select("subscription_id", "account_id"), "subscription_id", "inner")
             .groupBy("account_id", "month_start")
             .agg(F.sum("usage_sum").cast("bigint").alias("total_usage_count")))
 
 
+def account_cells(tables: Tables, snapshot: DataFrame | None = None, with_usage: bool = True, marked: bool = False) -> DataFrame:
+    """account_id, month_start, mrr_amount[, total_usage_count]: one row per account and month that has
+    a snapshot or usage row, all rows of an account in one task, so LAG and LEAD need no other shuffle.
+
+    Without a snapshot, subscriptions are shuffled as ranges of months, one row for those of an
+    account with the same range, and become months behind the shuffle: an account's rows there
+    are bounded by the calendar.  NULL values where the dense spine would have no row; rows of a
+    NULL account and months beyond the calendar are left out.  marked: one more row for each
+    account in scope (NULL too), in the month before the calendar.
+    """
+    subs = tables.subscriptions
+    min_month, max_month = bound_scalars(subs)
+    if snapshot is None:
+        rows, mrr = keyed_ranges(subs).withColumnRenamed("winner_key", "best"), mrr_of_key("best")
+    else:
+        rows = (snapshot.where(F.col("month_start") <= max_month)
+                .select("account_id", F.col("month_start").alias("first_month"), F.col("month_start").alias("last_month"), F.col("mrr_amount").alias("best")))
+        mrr = F.col("best")
+    if with_usage:
+        use = usage_by_account_month(tables).where((F.col("month_start") >= min_month) & (F.col("month_start") <= max_month))
+        rows = rows.unionByName(use.select("account_id", F.col("month_start").alias("first_month"), F.col("month_start").alias("last_month"), "total_usage_count"),
+                                allowMissingColumns=True)
+    rows = rows.where("account_id is not null")
+    if marked:
+        month = F.add_months(min_month, -1)
+        rows = rows.unionByName(accounts_in_scope(subs).select("account_id", month.alias("first_month"), month.alias("last_month")), allowMissingColumns=True)
+    values = ["best", *["total_usage_count"] * with_usage]
+    # Each (account, month) has at most one usage value, so MAX just picks it; of the keys it is the winner.
+    cells = (together(rows).select("account_id", months_of_range(), *values)
+             .groupBy("account_id", "month_start").agg(*[F.max(v).alias(v) for v in values]))
+    return cells.select("account_id", "month_start", mrr.alias("mrr_amount"), *values[1:])
+
+
+def _by_account() -> WindowSpec:
+    return Window.partitionBy("account_id").orderBy("month_start")
+
+
+def _of_month_before(value: str) -> F.Column:
+    """`value` of the account's row of the calendar month before, NULL if there is none."""
+    before = F.lag("month_start").over(_by_account())
+    return F.when(before == F.add_months("month_start", -1), F.lag(value).over(_by_account()))
+
+
 def account_month_flows(tables: Tables, snapshot: DataFrame | None = None,
                         with_usage: bool = True, paying_rows_only: bool = True) -> DataFrame:
     """Sparse state: (account_id, month_start, mrr_amount, prev_mrr[, total_usage_count,
@@ -67,40 +105,23 @@ def account_month_flows(tables: Tables, snapshot: DataFrame | None = None,
     Values are NULL where the dense spine would have no snapshot / usage row; callers
     coalesce.  With paying_rows_only=False the usage-only account-months are kept too.
     """
-    subs = tables.subscriptions
-    snap = snapshot if snapshot is not None else account_mrr(subs)
-    min_month, max_month = bound_scalars(subs)
-    snap = snap.filter(F.col("account_id").isNotNull())
-    rows = _own_and_next(snap, "mrr_amount", "cur_mrr", "prv_mrr", max_month)
-    if with_usage:
-        use = (usage_by_account_month(tables)
-               .filter(F.col("account_id").isNotNull()
-                       & (F.col("month_start") >= min_month) & (F.col("month_start") <= max_month)))
-        rows = rows.unionByName(_own_and_next(use, "total_usage_count", "cur_use", "prv_use", max_month),
-                                allowMissingColumns=True)
-    # Each (account, month) has at most one value of each kind, so MAX just picks it.
-    aggs = [F.max("cur_mrr").alias("mrr_amount"), F.max("prv_mrr").alias("prev_mrr")]
-    if with_usage:
-        aggs += [F.max("cur_use").alias("total_usage_count"), F.max("prv_use").alias("prev_usage_count")]
-    state = rows.groupBy("account_id", "month_start").agg(*aggs)
+    _, max_month = bound_scalars(tables.subscriptions)
+    cells = account_cells(tables, snapshot, with_usage)
+    previous = {"mrr_amount": "prev_mrr", **({"total_usage_count": "prev_usage_count"} if with_usage else {})}
+    following = F.add_months("month_start", 1)
+    gap = (F.coalesce(F.lead("month_start").over(_by_account()) > following, F.lit(True)) & (following <= max_month))
+    known = cells.select("*", *[_of_month_before(v).alias(p) for v, p in previous.items()], gap.alias("gap"))
+    own, after = [F.col("month_start")], [following.alias("month_start")]
+    for value, prev in previous.items():
+        own += [F.col(value), F.col(prev)]
+        after += [F.lit(None).cast(cells.schema[value].dataType).alias(value), F.col(value).alias(prev)]
+    months = F.when(F.col("gap"), F.array(F.struct(*own), F.struct(*after))).otherwise(F.array(F.struct(*own)))
+    state = known.select("account_id", F.explode(months).alias("r")).select("account_id", "r.*")
     if paying_rows_only:
         state = state.filter(F.col("mrr_amount").isNotNull() | F.col("prev_mrr").isNotNull())
     return state
 
 
-def _own_and_next(df: DataFrame, value: str, own: str, nxt: str, max_month) -> DataFrame:
-    """Each row once for its own month (value in `own`) and once for the following month
-    (value in `nxt`), in a single pass; months past the calendar end are dropped."""
-    t = df.schema[value].dataType
-    none = F.lit(None).cast(t)
-    pair = F.array(
-        F.struct(F.col("month_start").alias("month_start"), F.col(value).alias(own), none.alias(nxt)),
-        F.struct(F.add_months("month_start", 1).alias("month_start"), none.alias(own), F.col(value).alias(nxt)))
-    return (df.select("account_id", F.explode(pair).alias("r"))
-            .select("account_id", "r.month_start", f"r.{own}", f"r.{nxt}")
-            .filter(F.col("month_start") <= max_month))
-
-
 def calendar_runs(tables: Tables, cells: DataFrame) -> DataFrame:
     """The whole calendar of every account in scope as runs of months: columns of `cells` with
     `month_start` (first month) and `run_end` (last month).
@@ -144,11 +165,26 @@ def run_months(rows: DataFrame, first: F.Column | None = None, last: F.Column |
     return every.drop("run_start")
 
 
+def _on_every_month(tables: Tables, cells: DataFrame) -> DataFrame:
+    """Marked cells laid on every calendar month of every account in scope; their values and those of
+    the month before (`prev_` and the name), NULL where there is no cell."""
+    min_month, max_month = bound_scalars(tables.subscriptions)
+    values = [c for c in cells.columns if c not in ("account_id", "month_start")]
+    until = F.coalesce(F.add_months(F.lead("month_start").over(_by_account()), -1), max_month)
+    known = cells.select("account_id", F.col("month_start").alias("cell"), F.greatest("month_start", min_month).alias("first"), until.alias("until"),
+                         *values, *[_of_month_before(v).alias(f"before_{v}") for v in values])
+    every = (known.where("first <= until")
+             .select("*", F.add_months("cell", 1).alias("following"), F.explode(F.sequence("first", "until", F.expr("INTERVAL 1 MONTH"))).alias("month_start")))
+    own, following = F.col("month_start") == F.col("cell"), F.col("month_start") == F.col("following")
+    return every.select("month_start", "account_id", *[F.when(own, F.col(v)).alias(v) for v in values],
+                        *[F.when(own, F.col(f"before_{v}")).when(following, F.col(v)).alias(f"prev_{v}") for v in values])
+
+
 def account_month_state(tables: Tables, snapshot: DataFrame | None = None) -> DataFrame:
     """Dense (month_start, account_id, mrr_amount, prev_mrr) over the spine, 0 where absent."""
-    dense = run_months(calendar_runs(tables, account_month_flows(tables, snapshot, with_usage=False)).withColumnRenamed("prev_mrr", "before"))
+    dense = _on_every_month(tables, account_cells(tables, snapshot, with_usage=False, marked=True))
     return dense.select("month_start", "account_id", F.coalesce("mrr_amount", zero_money()).alias("mrr_amount"),
-                        F.coalesce("before", zero_money()).alias("prev_mrr"))
+                        F.coalesce("prev_mrr_amount", zero_money()).alias("prev_mrr"))
 
 
 def calendar_snapshot(tables: Tables, snapshot: DataFrame) -> DataFrame:
@@ -170,8 +206,7 @@ def _flag(c) -> F.Column:
 
 def account_activity_state(tables: Tables, snapshot: DataFrame | None = None) -> DataFrame:
     """C14 + C15: dense paying / active flags with their previous-month values."""
-    flows = account_month_flows(tables, snapshot, with_usage=True, paying_rows_only=False)
-    j = run_months(calendar_runs(tables, flows.withColumnRenamed("prev_mrr", "before")))
+    j = _on_every_month(tables, account_cells(tables, snapshot, marked=True))
     mrr = F.coalesce("mrr_amount", zero_money())
     use = F.coalesce("total_usage_count", F.lit(0).cast("bigint"))
     return j.select(
@@ -180,6 +215,6 @@ def account_activity_state(tables: Tables, snapshot: DataFrame | None = None) ->
         use.alias("total_usage_count"),
         _flag(mrr).alias("is_paying"),
         _flag(use).alias("is_active"),
-        _flag(F.coalesce("prev_usage_count", F.lit(0))).alias("prev_is_active"),
-        _flag(F.coalesce("before", zero_money())).alias("prev_is_paying"),
+        _flag(F.coalesce("prev_total_usage_count", F.lit(0))).alias("prev_is_active"),
+        _flag(F.coalesce("prev_mrr_amount", zero_money())).alias("prev_is_paying"),
     )
