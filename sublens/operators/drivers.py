@@ -48,9 +48,9 @@ def usage_account_month(tables: Tables) -> DataFrame:
 
     The features of a group are a bitmap: the first MASKS * MASK_BITS feature names are numbered (an
     exact dictionary, at most that many rows, hence broadcast) and a usage row carries its
-    feature's bit in one of MASKS longs.  Bitmaps merge with OR in the tasks before every shuffle,
-    so usage is one row per (subscription, month) when it meets the subscriptions, and one
-    per (month, account) after, and no shuffle is spent on telling features apart.  Names beyond
+    feature's number to the subscriptions (a key with most rows is split by AQE), where it becomes
+    a bit in one of MASKS longs.  Bitmaps merge with OR in the tasks of the join, before the one
+    shuffle by (month, account); none is spent on telling features apart.  Names beyond
     the dictionary, if there are any, are counted as distinct rows and added.
     """
     usage = tables.feature_usage_raw.select("subscription_id", month_of("usage_date").alias("month_start"), "feature_name", F.coalesce("usage_count", F.lit(0)).alias("use"))
@@ -60,11 +60,9 @@ def usage_account_month(tables: Tables) -> DataFrame:
     bit = F.expr(f"shiftleft(1L, number % {MASK_BITS})")
     masks = [f"mask_{i}" for i in range(MASKS)]
     merged = [F.bit_or(m).alias(m) for m in masks]
-    marked = usage.join(known, "feature_name", "left").select(
-        "subscription_id", "month_start", "use", *[F.when(F.floor(F.col("number") / MASK_BITS) == i, bit).alias(m) for i, m in enumerate(masks)])
-    per_subscription = marked.groupBy("subscription_id", "month_start").agg(F.sum("use").alias("use"), *merged)
     subs = tables.subscriptions.select("subscription_id", "account_id")
-    rows = per_subscription.join(subs, "subscription_id").select("month_start", "account_id", "use", *masks, F.lit(0).alias("beyond"))
+    rows = (usage.join(known, "feature_name", "left").drop("feature_name").join(subs, "subscription_id")
+            .select("month_start", "account_id", "use", *[F.when(F.floor(F.col("number") / MASK_BITS) == i, bit).alias(m) for i, m in enumerate(masks)], F.lit(0).alias("beyond")))
     # Hash buckets of the names beyond: at most BUCKETS rows, and none ends the branch at run time
     # before it reads the usage.
     bucket = F.pmod(F.xxhash64("feature_name"), F.lit(BUCKETS)).alias("bucket")
