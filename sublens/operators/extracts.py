@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from sublens.operators import drivers, lenses, reasons, signals, snapshot
-from sublens.session import ensure_checkpoint_dir
+from sublens.session import scratch_path
 from sublens.sources.tables import Tables
 
 # Waterfall step labels and trend series titles, in display order.
@@ -26,14 +26,15 @@ def register_all(spark: SparkSession, tables: Tables, materialize: bool = False)
     """Publish the five tables and every view as temp views; returns them by name.
 
     With materialize=True the month-end snapshot, which nearly every view reads, is
-    written once with a reliable checkpoint (to the shared spark.checkpoint.dir) so the
-    views do not each recompute it from the subscriptions, and a lost executor does not
-    send them back to the source.
+    written once as Parquet (to the shared spark.checkpoint.dir) so the views do not each
+    recompute it from the subscriptions, read only the columns they use, and a lost
+    executor does not send them back to the source.
     """
-    ensure_checkpoint_dir(spark)
     snap = snapshot.account_mrr_month(tables.subscriptions)
     if materialize:
-        snap = snap.checkpoint(eager=True)
+        path, schema = scratch_path(spark, "snapshot"), snap.schema
+        snap.write.parquet(path)
+        snap = spark.read.schema(schema).parquet(path)
     with_tier = signals.change_signals_with_tier(tables, snap)
     account_signals = with_tier.drop("plan_tier")
     reason_rows = reasons.churn_reason_rows(snap, tables.churn_events)
