@@ -4,18 +4,22 @@ A document is the mean of learned vectors of its hashed features: words, pairs o
 words (a repeated word gives one feature whatever the word) and character n-grams, each of
 these kinds having the same weight in the mean.  A softmax over the mean gives the label.  Vectors and output layer are trained together by stochastic
 gradient descent in numpy on a bounded sample of labelled rows (`per_label` of each label, the
-smallest by a hash of the id); features of the sample are made in the tasks.  Since both
-the mean and the output layer are linear, scoring sums one number per feature.
+smallest by a hash of the id); features of the sample are made in the tasks and reach the driver
+a partition at a time, where they lie in a mapped file instead of memory.  Since both the mean
+and the output layer are linear, scoring sums one number per feature.
 """
 
 from __future__ import annotations
 
+import tempfile
+from functools import cmp_to_key
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sublens.llm.common import MIX_A, MIX_B, mix, prefix_sums, span_hashes, text_slices, words
+from sublens.llm.common import MIX_A, MIX_B, drop_scratch, mix, prefix_sums, span_hashes, text_slices, words, written
 
 SCHEMA = "doc_id bigint, held_out boolean, score double, predicted int"
 BUCKETS, DIM = 1 << 16, 8
@@ -47,8 +51,9 @@ def features(column: pa.Array, buckets: int = BUCKETS) -> list[tuple[np.ndarray,
 
 
 def _weights(held: DataFrame, buckets: int) -> DataFrame:
-    """label and each text's features as (buckets, shares) in binary."""
+    """task and row (the text's place in the table), label, and each text's features as (buckets, shares) in binary."""
     def run(batches):
+        task, k = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in text_slices(whole, most=500_000):
                 streams = features(batch.column("text"), buckets)
@@ -58,15 +63,46 @@ def _weights(held: DataFrame, buckets: int) -> DataFrame:
                     found, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
                     share = np.concatenate([p[1] / max(1, p[1].sum()) for p in parts]) / len(parts)
                     rows.append((found.astype("<i4").tobytes(), np.bincount(place, weights=share, minlength=len(found)).astype("<f4").tobytes()))
-                yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["label", "buckets", "shares"])
-    return held.mapInArrow(run, "label int, buckets binary, shares binary")
+                place = [pa.array([task] * len(rows), pa.int32()), pa.array(range(k, k + len(rows)), pa.int64())]
+                k += len(rows)
+                yield pa.RecordBatch.from_arrays([*place, batch.column("label"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], names=["task", "row", "label", "buckets", "shares"])
+    return held.mapInArrow(run, "task int, row bigint, label int, buckets binary, shares binary")
+
+
+def _spooled(table: DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """label, buckets and shares of the texts of a `_weights` table that have features, in order of
+    the buckets' bytes, then of their place, whatever order the tasks ended in.
+
+    Buckets and shares are views of a mapped temporary file: what the driver holds in memory does
+    not grow with the texts, but for one partition on its way."""
+    found, at = [], 0
+    with tempfile.TemporaryFile() as spool:
+        for r in table.toLocalIterator():
+            if r["buckets"]:  # nothing is learned of empty texts
+                spool.write(r["buckets"])
+                spool.write(r["shares"])
+                n = len(r["buckets"]) // 4
+                found.append((r["task"], r["row"], r["label"], at, n))
+                at += 2 * n
+        spool.flush()
+        flat = np.asarray(np.memmap(spool, dtype="<i4", mode="r")) if at else np.zeros(0, dtype="<i4")
+
+    def compared(x, y):
+        a, b = (flat[at:at + n].tobytes() for _, _, _, at, n in (x, y))
+        return (a > b) - (a < b)
+    found = sorted(sorted(found), key=cmp_to_key(compared))
+    return (np.array([x[2] for x in found], dtype=np.int32), [flat[at:at + n] for _, _, _, at, n in found],
+            [flat[at + n:at + 2 * n].view("<f4") for _, _, _, at, n in found])
 
 
 def train(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, dim: int = DIM, per_label: int = PER_LABEL, epochs: int = 6, rate: float = 0.2, seed: int = 7) -> tuple[np.ndarray, float]:
     """(log odds of label 1 that each feature adds, the bias) from docs (doc_id, text) whose ids
     are in known (doc_id, label 0 or 1).  Only ids are shuffled to find the sample."""
-    ids = docs.select("doc_id").join(known, "doc_id")
+    spark = docs.sparkSession
+    ids = written(docs.select("doc_id").join(known, "doc_id"), "ids")  # joined once for all that follows
     totals = {r["label"]: r["n"] for r in ids.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(totals) < 2:
+        drop_scratch(spark, ids)
     if not totals:
         return np.zeros(buckets + 1), 0.0
     if len(totals) == 1:
@@ -76,15 +112,12 @@ def train(docs: DataFrame, known: DataFrame, buckets: int = BUCKETS, dim: int =
         some = ids.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
         picked = some if picked is None else picked.unionByName(some)
     sample = docs.select("doc_id", "text").join(F.broadcast(picked.distinct()), "doc_id")  # per_label rows of each label at most
-    table = _weights(sample.select("label", "text"), buckets).toArrow()
-    contents = table.column("buckets").to_pylist()
-    table = table.take(sorted(range(len(contents)), key=contents.__getitem__))  # whatever order the tasks ended in
-    table = table.filter(pc.greater(pc.binary_length(table.column("buckets")), 0))  # nothing is learned of empty texts
-    label = table.column("label").to_numpy()
+    table = written(_weights(sample.select("label", "text"), buckets), "features")  # made once, by all tasks
+    label, index, share = _spooled(table)
+    for made in (ids, table):
+        drop_scratch(spark, made)
     if not len(label):
         return np.zeros(buckets + 1), 0.0
-    index = [np.frombuffer(b, dtype="<i4") for b in table.column("buckets").to_pylist()]
-    share = [np.frombuffer(b, dtype="<f4") for b in table.column("shares").to_pylist()]
     have = {k: max(1, int((label == k).sum())) for k in totals}
     weight = np.array([totals[k] / have[k] for k in label.tolist()])
     weight /= weight.mean()

@@ -7,6 +7,7 @@ import lzma
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -141,6 +142,22 @@ def test_quality_learns_and_takes_edge_cases(spark, docs):
     assert op5_quality.quality(docs.limit(0), labels, never()).count() == 0
 
 
+def test_quality_sample_stays_out_of_the_driver(spark):
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"abcdefghijklmnopqrstuvwxyz   ", dtype=np.uint8)
+    rows = [(i, letters[rng.integers(0, len(letters), 12_000)].tobytes().decode()) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(8).persist()
+    sample = docs.withColumn("label", (F.col("doc_id") % 2).cast("int"))
+    size = op5_quality._weights(sample.select("label", "text"), 1 << 16).agg(F.sum(F.length("buckets") + F.length("shares"))).first()[0]
+    assert size > 80_000_000
+    tracemalloc.start()
+    op5_quality.train(docs, sample.select("doc_id", "label"), dim=1, epochs=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    docs.unpersist()
+    assert peak < 0.75 * size  # copies of the sample took more than 1.5 times its size
+
+
 def test_secret_layers(spark, docs):
     secret = 'password = "hunter2hunter2"'
     zipped = base64.b64encode(gzip.compress(secret.encode())).decode()
