@@ -285,6 +285,35 @@ def test_first_search_finds_its_neighbours(spark, monkeypatch):
     assert sum(measured) <= 0.4 * 40 * 4000
 
 
+def test_no_pair_of_the_graph_or_search_is_a_row(spark):
+    """Of 3,000 nodes with 48 queries, parts get posts, not rows: no step of the graph or the search
+    gives Spark as many rows as there are nodes, apart from the nodes and the two results."""
+    x = np.random.default_rng(7).normal(size=(3000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "node bigint, vector array<double>")
+    nodes = op8_neighbours.written(op8_neighbours._packed(df), "nodes")
+    rows, pairs, real = {}, [], op8_neighbours.written
+    with pytest.MonkeyPatch.context() as patch:
+        def counted(table, name):
+            out = real(table, name)
+            rows.setdefault(name, []).append(out.count())
+            if name == "found" and "kind" in out.columns:
+                pairs.extend(len(r["b"]) // 8 for r in out.where(F.col("kind") == op8_neighbours.TURNS).select("b").collect())
+            return out
+        patch.setattr(op8_neighbours, "written", counted)
+        edges = op8_neighbours.neighbour_graph(nodes, k=16, block=256)
+        asked = nodes.where("node % 64 = 0").select(F.col("node").alias("query"), F.col("exact").alias("asked"), "node")
+        found = op8_neighbours.graph_search(asked, nodes, edges, beam=24).where("node <> query")
+    assert rows["graph"].pop() == 3000 * 16 and rows["found"].pop() >= 47 * 96
+    assert len(rows["graph"]) > 2 and len(rows["found"]) > 2 and max(map(max, rows.values())) < 300
+    assert 47 * 24 <= sum(pairs) <= 0.04 * 47 * 3000  # nodes expanded, each with some fifty steps
+    near = {}
+    for r in found.orderBy("query", "d", "node").collect():
+        near.setdefault(r["query"], []).append(r.node)
+    want = {q: np.argsort(((x - x[q]) ** 2).sum(axis=1))[1:11].tolist() for q in range(0, 3000, 64)}
+    assert all(len(set(n)) == len(n) for n in near.values())
+    assert sum(len(set(near[q][:10]) & set(want[q])) for q in want) >= 0.98 * 470
+
+
 def test_search_widens_until_a_sample_is_found(spark):
     x = np.random.default_rng(6).normal(size=(1500, 16))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
